@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, urlfilter, warc
+from . import bpe, ppm, urlfilter, warc
 
 #: The rules of the url query, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -29,7 +29,12 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_url_filters, op5_byte_bpe)}
+def op7_language_model(spark, sf_dir):
+    """Every document's word baseline and byte-context score, learnt from six sevenths of them."""
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op4_url_filters, op5_byte_bpe, op7_language_model)}
 
 ORACLES = {
     "op1_warc": """

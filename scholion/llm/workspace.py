@@ -25,9 +25,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions(df: DataFrame, each: int = 64 << 20) -> int:
-    """Shuffle partitions for work on all of df: the session's number, more if the plan says that its input is larger."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, size // each))
-
+    """Shuffle partitions for work on all of df: the session's number, more if the tables it reads are larger.
 
+    Leaves whose size Spark does not know count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 55)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, known // each))
