@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .distinct import by_distinct_word, gather, pack, unpack
-from .spans import binary, chunks, utf8
+from .spans import binary, chunks, code_points, utf8
 from .workspace import partitions
 
 # Unicode White_Space outside ASCII letters' reach, and the contractions of the pattern.
@@ -44,18 +44,8 @@ def pretokens(buf, offsets) -> np.ndarray:
     """Byte offsets at which the pre-tokens of the rows start, and the end."""
     if not len(buf):
         return np.zeros(1, np.int64)
-    at = np.flatnonzero((buf & 0xC0) != 0x80)
-    b = buf[at].astype(np.int64)
-    point = b.copy()
-    far = np.append(buf, np.zeros(3, np.uint8)).astype(np.int64) & 0x3F
-    for lo, hi, bits, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
-        wide = np.flatnonzero((b >= lo) & (b < hi))
-        if len(wide):
-            p = b[wide] & bits
-            for j in range(1, more + 1):
-                p = (p << 6) | far[at[wide] + j]
-            point[wide] = p
-    kind = _classes()[np.minimum(point, 0x10FFFF)]
+    at, point = code_points(buf)
+    kind = _classes()[point]
     n = len(kind)
     new = np.zeros(n + 1, bool)
     new[np.searchsorted(at, offsets)] = True

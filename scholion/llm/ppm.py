@@ -21,11 +21,11 @@ columns are ignored.
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .distinct import by_distinct_word, pack, unpack
+from .folds import folds
 from .spans import chunks, utf8, words
 from .workspace import partitions, table
 
@@ -33,11 +33,6 @@ ORDER = 4
 START, END = 0xFE, 0xFF
 
 
-def folds(ids, of: int) -> np.ndarray:
-    """crc32 of each id as text, mod `of`; -1 for null."""
-    return np.fromiter((-1 if i is None else zlib.crc32(str(i).encode()) % of for i in ids), np.int64, len(ids))
-
-
 def grams(buf, offsets):
     """(gram code of every byte and of END, offsets of the rows in them)."""
     n = len(offsets) - 1

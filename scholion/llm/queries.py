@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, ppm, urlfilter, warc
+from . import bpe, langid, ppm, quality, toxicity, urlfilter, warc
 
 #: The rules of the url query, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -18,6 +18,16 @@ def op1_warc(spark, sf_dir):
     return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op2_quality(spark, sf_dir):
+    """Every document's expected grade and tail probabilities."""
+    return quality.score(read(spark, sf_dir, "documents"), quality.graded(read(spark, sf_dir, "labels")))
+
+
+def op3_toxicity(spark, sf_dir):
+    """Every document's toxicity by its nearest labelled examples."""
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_url_filters(spark, sf_dir):
     """The verdict on every page's url."""
     return urlfilter.judge(read(spark, sf_dir, "pages"), urlfilter.rules(spark, URL_RULES))
@@ -34,7 +44,12 @@ def op7_language_model(spark, sf_dir):
     return ppm.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_url_filters, op5_byte_bpe, op7_language_model)}
+def op10_language(spark, sf_dir):
+    """Every document's language by rank-order profiles."""
+    return langid.predict(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_url_filters, op5_byte_bpe, op7_language_model, op10_language)}
 
 ORACLES = {
     "op1_warc": """

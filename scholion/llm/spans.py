@@ -16,6 +16,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: White space and ASCII punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 CHUNK = 2 << 20
 
 _odd = np.zeros(0, np.uint64)
@@ -46,9 +49,28 @@ def chunks(buf, offsets, limit=CHUNK):
         lo = hi
 
 
-def words(buf, offsets, lower=True):
-    """(bytes of all words end to end, int64 offsets of the words, index of each row's first word and the end)."""
-    gap = SPACE[buf]
+def code_points(buf) -> tuple[np.ndarray, np.ndarray]:
+    """(byte offset, code point) of every character."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    b = buf[at].astype(np.int64)
+    point = b.copy()
+    wide = np.flatnonzero(b >= 0xC0)
+    if len(wide):
+        tail = np.append(buf, np.zeros(3, np.uint8)).astype(np.int64) & 0x3F
+        for lo, hi, bits, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
+            some = wide[(b[wide] >= lo) & (b[wide] < hi)]
+            p = b[some] & bits
+            for j in range(1, more + 1):
+                p = (p << 6) | tail[at[some] + j]
+            point[some] = p
+    return at, np.minimum(point, 0x10FFFF)
+
+
+def words(buf, offsets, lower=True, gaps=SPACE):
+    """(bytes of all words end to end, int64 offsets of the words, index of each row's first word and the end).
+
+    gaps: for each byte value whether it parts words."""
+    gap = gaps[buf]
     text = ~gap
     left = np.empty(len(buf) + 1, bool)
     left[0] = left[-1] = True
