@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ppm, quality, toxicity, urlfilter, warc
+from . import bpe, decontam, langid, ppm, quality, topk, toxicity, urlfilter, warc
 
 #: The rules of the url query, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -39,17 +39,27 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
 
 
+def op6_decontamination(spark, sf_dir):
+    """Every document and benchmark item that it holds."""
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language_model(spark, sf_dir):
     """Every document's word baseline and byte-context score, learnt from six sevenths of them."""
     return ppm.score(read(spark, sf_dir, "documents"))
 
 
+def op9_top_products(spark, sf_dir):
+    """Every fiftieth vector's five largest integer inner products."""
+    return topk.top(read(spark, sf_dir, "embeddings"))
+
+
 def op10_language(spark, sf_dir):
     """Every document's language by rank-order profiles."""
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_url_filters, op5_byte_bpe, op7_language_model, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_url_filters, op5_byte_bpe, op6_decontamination, op7_language_model, op9_top_products, op10_language)}
 
 ORACLES = {
     "op1_warc": """
@@ -70,4 +80,11 @@ r(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en
 m as (select s.page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict
   from s join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
 select s.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from s left join m using (page_id)""",
+    "op9_top_products": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify rank <= 5""",
 }
