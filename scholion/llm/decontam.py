@@ -24,28 +24,51 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .spans import LOWER, SPACE, chunks, mix, utf8
 
-STEPS, PLACES, REPEATS, SEED = 48, 14, 3, 20240607
+EARLY, STEPS, PLACES, REPEATS, SEED = 16, 48, 8, 2, 20240607
+EARLY_BITS = 22
 BLANK = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
 
 
 def walk_bits(repeat: int) -> np.ndarray:
-    return np.random.default_rng(SEED + repeat).integers(0, 2, (STEPS, 256)).astype(np.int64)
+    return np.random.default_rng(SEED + repeat).integers(0, 2, (STEPS, 256)).astype(np.int32)
 
 
 def sampled(repeat: int) -> set[int]:
-    return set(np.random.default_rng(SEED + 1000 + repeat).choice(STEPS, PLACES, replace=False).tolist())
+    """Places of the embedding in the key: some of the early steps, and as many of the later ones."""
+    rng = np.random.default_rng(SEED + 1000 + repeat)
+    return {*rng.choice(EARLY, PLACES, replace=False).tolist(), *(EARLY + rng.choice(STEPS - EARLY, PLACES, replace=False)).tolist()}
 
 
-def keys(text: np.ndarray, starts: np.ndarray, repeat: int) -> np.ndarray:
-    """The sampled places of the embedding of the windows at starts, as one hash each."""
+def keys(text: np.ndarray, starts: np.ndarray, repeat: int, early: np.ndarray | None = None):
+    """(windows, their keys): the sampled places of the embedding of the windows at starts, as one hash each.
+
+    early: a table of the hashes of the places of the early steps; the walk ends there for windows that it lacks."""
     padded = np.append(text, np.zeros(STEPS, np.uint8))
-    bits, places, at, out = walk_bits(repeat), sampled(repeat), starts.astype(np.int64).copy(), np.full(len(starts), repeat + 1, np.uint64)
+    bits, places = walk_bits(repeat), sampled(repeat)
+    kept, at, out = np.arange(len(starts)), starts.astype(np.int32), np.full(len(starts), repeat + 1, np.uint32)
     for j in range(max(places) + 1):
+        if j == EARLY and early is not None:
+            some = np.flatnonzero(early[(out * np.uint32(0x9E3779B1)) >> np.uint32(32 - EARLY_BITS)])
+            kept, at, out = kept[some], at[some], out[some]
+        if j == EARLY:
+            out = out.astype(np.uint64)
         c = padded[at]
         if j in places:
-            out = (out ^ c) * np.uint64(0x100000001B3) + np.uint64(j)
+            out = out * (np.uint32(0x01000193) if j < EARLY else np.uint64(0x100000001B3)) + c
         at += bits[j][c]
-    return mix(out)
+    return kept, mix(out)
+
+
+def early_hashes(text, starts, repeat):
+    """Numbers of the entries of keys()' table for these windows."""
+    padded = np.append(text, np.zeros(STEPS, np.uint8))
+    at, out, places = starts.astype(np.int32), np.full(len(starts), repeat + 1, np.uint32), sampled(repeat)
+    for j in range(EARLY):
+        c = padded[at]
+        if j in places:
+            out = out * np.uint32(0x01000193) + c
+        at += walk_bits(repeat)[j][c]
+    return (out * np.uint32(0x9E3779B1)) >> np.uint32(32 - EARLY_BITS)
 
 
 def window_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -94,6 +117,7 @@ class Items:
         self.rows = [(i, BLANK[np.frombuffer((x or "").encode(), np.uint8)].tobytes().strip(b" ")) for i, x in rows]
         self.allowed = [int((1 - similarity) * len(x) + 1e-9) for _, x in self.rows]
         self.short = [n for n, (_, x) in enumerate(self.rows) if 0 < len(x) < least]
+        self.early = np.zeros((REPEATS, 1 << EARLY_BITS), bool)
         k, item, shift = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, (_, x) in enumerate(self.rows):
             if len(x) >= least:
@@ -101,14 +125,13 @@ class Items:
                 starts = window_starts(text, np.array([0, len(x)]))
                 starts = starts[starts <= len(x) - least // 2]
                 for r in range(REPEATS):
-                    k.append(keys(text, starts, r))
+                    k.append(keys(text, starts, r)[1])
+                    self.early[r][early_hashes(text, starts, r)] = True
                     item.append(np.full(len(starts), n))
                     shift.append(starts)
         k, item, shift = np.concatenate(k), np.concatenate(item), np.concatenate(shift)
         order = np.argsort(k, kind="stable")
         self.keys, self.item, self.shift = k[order], item[order], shift[order]
-        self.there = np.zeros(1 << 20, bool)
-        self.there[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     def found(self, buf, offsets):
         """For each row a list of (item number, distance, start, end), one for each item found, at its best place."""
@@ -117,9 +140,11 @@ class Items:
         row_of = np.searchsorted(offsets, starts, "right") - 1
         tries = set()
         for r in range(REPEATS):
-            k = keys(text, starts, r)
-            for w in np.flatnonzero(self.there[(k >> np.uint64(44)).astype(np.int64)]).tolist():
-                for e in range(int(np.searchsorted(self.keys, k[w])), int(np.searchsorted(self.keys, k[w], "right"))):
+            windows, k = keys(text, starts, r, self.early[r])
+            lo, hi = np.searchsorted(self.keys, k), np.searchsorted(self.keys, k, "right")
+            for x in np.flatnonzero(hi > lo).tolist():
+                w = windows[x]
+                for e in range(lo[x], hi[x]):
                     tries.add((int(row_of[w]), int(self.item[e]), int(starts[w] - self.shift[e])))
         out = [{} for _ in range(len(offsets) - 1)]
         covered = {}

@@ -129,6 +129,20 @@ def predict(df: DataFrame, fold: int = 4, held: int = 2, size: int = 300, doc: s
     return rows.mapInArrow(run, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, lang_pred string, score double, distance double")
 
 
+def keep(df: DataFrame, most: float = 0.95, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """df without the rows that have no language: `und`, or farther than `most` from every profile; nothing is shuffled."""
+    names, known, places = _table(profiles(df, lambda ids: folds(ids, fold) == held, size, doc, text, lang), size)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            buf, offsets = utf8(batch.column(at))
+            got = [judged(g, names, known, places, size) for _, _, b, o in chunks(buf, offsets) for g in ngrams(b, o)]
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[2] <= most for x in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _table(learnt: dict, size: int):
     """Language names, all profile n-grams in order of hash, and the place of each in every profile (size: missing)."""
     names = sorted(learnt)

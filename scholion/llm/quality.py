@@ -125,6 +125,23 @@ def score(docs: DataFrame, ratings: DataFrame, fold: int = 5, held: int = 0, exa
     return rows.mapInArrow(run, f"`{doc}` {kind.simpleString()}, held_out boolean, expected_grade double, tails array<double>, kept boolean")
 
 
+def keep(docs: DataFrame, ratings: DataFrame, tail: int = 1, at_least: float = 0.5, fold: int = 5, held: int = 0, examples: int = 1500, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+    """docs without the rows whose tail probability is under at_least; nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ratings, fold, held, examples, doc, text, grade))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            if m:
+                buf, offsets = utf8(batch.column(at))
+                z = np.array([float(m[1][i] @ v) for _, _, b, o in chunks(buf, offsets) for i, v in features(b, o)])
+                batch = batch.filter(pa.array(logistic(z - m[2][min(tail, len(m[2])) - 1]) >= at_least))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Ratings of three grades from the labels: 0 poor, 1 good but toxic, 2 good."""
     return labels.select("doc_id", F.expr("quality + if(quality > 0 and coalesce(toxic, 0) = 0, 1, 0)").alias("grade"))

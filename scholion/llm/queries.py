@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ppm, quality, topk, toxicity, urlfilter, warc
+from . import bpe, decontam, langid, neardup, ppm, quality, topk, toxicity, urlfilter, warc
 
 #: The rules of the url query, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -49,6 +49,11 @@ def op7_language_model(spark, sf_dir):
     return ppm.score(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark, sf_dir):
+    """Every document's number of shingles and component of linked documents."""
+    return neardup.join(read(spark, sf_dir, "documents"))
+
+
 def op9_top_products(spark, sf_dir):
     """Every fiftieth vector's five largest integer inner products."""
     return topk.top(read(spark, sf_dir, "embeddings"))
@@ -59,7 +64,7 @@ def op10_language(spark, sf_dir):
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_url_filters, op5_byte_bpe, op6_decontamination, op7_language_model, op9_top_products, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_toxicity, op4_url_filters, op5_byte_bpe, op6_decontamination, op7_language_model, op8_ngram_join, op9_top_products, op10_language)}
 
 ORACLES = {
     "op1_warc": """
