@@ -6,6 +6,8 @@ block sends each part one packed row, not a row for each word, so a frequent wor
 are blocks and no more. The answers return to the block, where the tokens are put together in their order again.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -70,9 +72,10 @@ def split(batches, tokens, extra, parts: int):
         if full.any():
             h[full] = hashes(data, np.append(at[:-1][full], at[-1]))
         to = (h % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((h, to))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        ranked = np.argsort(-np.bincount(number, minlength=len(to)), kind="stable")  # small numbers for frequent words pack best
+        rank = np.empty_like(ranked)
+        rank[ranked] = np.arange(len(ranked))
+        order = ranked[np.argsort(to[ranked], kind="stable")]
         add = extra([c for c, _, _ in held], number, len(order)) if extra else None
         out = {k: [] for k in ("block", "part", "words", "sent", "body")}
         ends = np.searchsorted(to[order], np.arange(parts + 1))
@@ -81,7 +84,7 @@ def split(batches, tokens, extra, parts: int):
             mine = order[ends[p] : ends[p + 1]]
             for k, v in zip(out, (block, p, pack_words(*gather(data, at, mine)), pack(add[mine]) if add is not None else None, None), strict=True):
                 out[k].append(v)
-        for k, v in zip(out, (block, -1 - block % parts, None, None, _body([c for c, _, _ in held], place[number], len(order))), strict=True):
+        for k, v in zip(out, (block, -1 - block % parts, None, None, pickle.dumps(([c for c, _, _ in held], pack(rank[number]), pack(to[ranked])), protocol=5)), strict=True):
             out[k].append(v)
         block += 1
         yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), pa.array(out["part"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("words", "sent", "body"))], names=list(out))
@@ -98,12 +101,6 @@ def split(batches, tokens, extra, parts: int):
         yield from rows(held)
 
 
-def _body(carried, number, n) -> bytes:
-    import pickle
-
-    return pickle.dumps((carried, pack(number), n), protocol=5)
-
-
 def resolve(batches, answer):
     """Rows of one or more whole parts, sorted by part: answer([(data, at, sent)]) returns bytes for each."""
 
@@ -127,11 +124,13 @@ def resolve(batches, answer):
 
 def finish(batches, put):
     """Rows of whole blocks, sorted by block and part, the body first: put(carried, number, [answers by part]) yields record batches."""
-    import pickle
 
     def out(rows):
-        carried, number, _ = pickle.loads(rows[0][4])
-        yield from put(carried, unpack(number), [r[3] for r in rows[1:]])
+        carried, number, to = pickle.loads(rows[0][4])
+        order = np.argsort(unpack(to), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        yield from put(carried, place[unpack(number)], [r[3] for r in rows[1:]])
 
     held = []
     for batch in batches:
