@@ -9,7 +9,7 @@ Small sets (n up to the boundary) enumerate the pairs of their first d + 2 shing
 large one could match, enter inverted lists with their first d + 1. The boundary is that of least estimated cost over
 the sizes that occur. Lists are not multiplied out: members are first compared with one leader of their list, and once
 the links found are contracted to components, only members of a list that are still apart are compared. A pair is
-dropped early if 1024-bit parity sketches bound its overlap too low; the rest are verified on the exact sets.
+dropped early if parity sketches, a 32nd of the sets' size, bound its overlap too low; the rest are verified on the exact sets.
 
 Components contract along smallest neighbours in rounds of joins. No link, component or fingerprint is collected; what
 the driver gets are counts, a size histogram, and frequent shingles (at most `frequent_most`, the most frequent ones).
@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .spans import chunks, hashes, mix, shingles, utf8, words
 from .workspace import table
 
+#: Bits of the parity sketch of a set: a power of two of at least this many and twice the set's size.
 SKETCH = 1024
 BROADCAST_IDS = 2_000_000
 
@@ -43,6 +44,22 @@ def class_id(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """For every bit whether an odd number of the set's elements fall on it; halves of a longer sketch fold by exclusive or."""
+    bits = max(SKETCH, 1 << (2 * len(found)).bit_length())
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def most_common(na: int, nb: int, x: bytes, y: bytes) -> int:
+    """The largest overlap of two sets of these sizes and sketches."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return min(na, nb, (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
 def sets(buf, offsets, k: int):
     data, at, first = words(buf, offsets)
     return shingles(hashes(data, at), first, k)
@@ -66,14 +83,14 @@ def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
         for batch in batches:
             buf, offsets = utf8(batch.column(1))
             for lo, hi, b, o in chunks(buf, offsets):
-                n, cid, sketch = [], [], []
+                n, cid, marks = [], [], []
                 for s in sets(b, o, k):
                     n.append(len(s))
                     cid.append(class_id(s))
-                    sketch.append(np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes())
+                    marks.append(sketch(s))
                     held.append(s)
                     size += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sketch, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(marks, pa.binary())], names=names)
             if size > 8_000_000:
                 yield from repeated()
                 held, size = [], 0
@@ -89,11 +106,12 @@ def boundary(sizes: dict[int, int], t: int, weight: float) -> int:
     pairs = [sizes[n] * (n - needed(n, t) + 2) * (n - needed(n, t) + 1) / 2 for n in order]
     lists = [sizes[n] * (n - needed(n, t) + 1) * (1 + weight) for n in order]
     best, cost, at = 0, sum(lists), 0
-    for i, n in enumerate(order):
-        while at < len(order) and 100 * order[at] < t * (n + 1):  # sets that no larger one than n can match
+    for i in range(len(order)):
+        above = order[i + 1] if i + 1 < len(order) else 1 << 60
+        while at < len(order) and 100 * order[at] < t * above:  # sets that no larger one can match need no lists
             at += 1
         if (now := sum(pairs[: i + 1]) + sum(lists[at:])) < cost:
-            best, cost = n, now
+            best, cost = above - 1, now
         if pairs[i] > 50 * lists[i]:
             break
     return best
@@ -159,13 +177,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
 
     def bounded(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (4, 5))
-            most = (na + nb - np.bitwise_count(x ^ y).sum(1).astype(np.int64)) // 2
-            keep = (100 + t) * np.minimum(most, np.minimum(na, nb)) >= t * (na + nb)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1, 6, 7)], names=["a", "b", "ka", "kb"])
+            keep = [(100 + t) * most_common(*x) >= t * (x[0] + x[1]) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1, 6, 7)], names=["a", "b", "ka", "kb"])
 
     kind = docs.schema[doc].dataType.simpleString()
     likely = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(na, nb) >= {t} * greatest(na, nb) and ka is not null and kb is not null")
