@@ -7,8 +7,8 @@ task and are frequent in sum last (the order steers cost only; any set of freque
 
 Small sets (n up to the boundary) enumerate the pairs of their first d + 2 shingles; large ones, and small ones that a
 large one could match, enter inverted lists with their first d + 1. The boundary is that of least estimated cost over
-the sizes that occur. Lists are not multiplied out: members are first compared with one leader of their list, and once
-the links found are contracted to components, only members of a list that are still apart are compared. A pair is
+the sizes that occur. Lists are not multiplied out: members are first compared with a leader of their list, the one that meets most others, then
+with a second; the links found contract to components, and only members of a list that are still apart are compared. A pair is
 dropped early if parity sketches, a 32nd of the sets' size, bound its overlap too low; the rest are verified on the exact sets.
 
 Components contract along smallest neighbours in rounds of joins. No link, component or fingerprint is collected; what
@@ -33,6 +33,8 @@ from .workspace import table
 #: Bits of the parity sketch of a set: a power of two of at least this many and twice the set's size.
 SKETCH = 1024
 BROADCAST_IDS = 2_000_000
+#: Rounds in which the members of a list are compared with one of them, before those still apart are with each other.
+LEADERS = 2
 
 
 def needed(n, t: int):
@@ -171,6 +173,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _apart(live: DataFrame, labels: DataFrame, by_sig) -> DataFrame:
+    """live with labels: the lists whose members are in more than one component."""
+    marked = live.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    return marked.withColumn("lo", F.min("label").over(by_sig)).withColumn("hi", F.max("label").over(by_sig)).where("lo != hi").drop("lo", "hi")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: int, doc: str, text: str) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that link."""
     one = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("keeper").alias(f"k{c}"))
@@ -226,16 +234,26 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
 
     classes = table(each.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(doc).alias("keeper")), "classes")
     by_sig = Window.partitionBy("sig")
-    entries = signatures(rows, k, t, limit, frequent, text).withColumn("lead", F.min("cid").over(by_sig)).withColumn("last", F.max("cid").over(by_sig)).where("lead != last")
-    live = table(entries.select("sig", "cid", "n", "lead").distinct(), "live")
-    links = verified(live.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes, rows, k, t, doc, text)
-    labels = components(links)
-
-    # members of a list that are still apart: first the list's largest component's smallest member with all others, then every pair that is left
-    marked = live.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    apart = table(marked.withColumn("lo", F.min("label").over(by_sig)).withColumn("hi", F.max("label").over(by_sig)).where("lo != hi").select("sig", "cid", "n", "label", "lead"), "apart")
+    entries = signatures(rows, k, t, limit, frequent, text).withColumn("lo", F.min("cid").over(by_sig)).withColumn("hi", F.max("cid").over(by_sig)).where("lo != hi")
+    live = table(entries.select("sig", "cid", "n").distinct(), "live")
+
+    # leaders are the members that meet most others over all their lists: the original rather than a copy of it
+    met = live.withColumn("m", F.count("*").over(by_sig)).groupBy("cid").agg(F.sum("m").alias("met"))
+    live = table(live.join(met, "cid").withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "place"), "ranked")
+    fit = f"100 * least(na, nb) >= {t} * greatest(na, nb)"
+    links = labels = None
+    for leader in range(1, LEADERS + 1):
+        apart = live.withColumn("label", F.col("cid")) if labels is None else _apart(live, labels, by_sig)
+        lead = apart.where(F.col("place") == leader).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        pairs = apart.withColumnsRenamed({"cid": "b", "n": "nb"}).join(lead, "sig").where(f"la != label and a != b and {fit}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = verified(pairs, classes, rows, k, t, doc, text)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+
+    # what is left: members of a list that are in different components and were not compared with a leader
+    apart = table(_apart(live, labels, by_sig).where(F.col("place") > LEADERS), "apart")
     other = apart.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = apart.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "lead").join(other, "sig").where(f"a < b and la != lb and a != lead and 100 * least(na, nb) >= {t} * greatest(na, nb)").select("a", "b").distinct()
+    rest = apart.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")).join(other, "sig").where(f"a < b and la != lb and {fit}").select("a", "b").distinct()
     more = verified(rest, classes, rows, k, t, doc, text)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
