@@ -238,14 +238,15 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
     live = table(entries.select("sig", "cid", "n").distinct(), "live")
 
     # leaders are the members that meet most others over all their lists: the original rather than a copy of it
-    met = live.withColumn("m", F.count("*").over(by_sig)).groupBy("cid").agg(F.sum("m").alias("met"))
-    live = table(live.join(met, "cid").withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "place"), "ranked")
+    met = live.withColumn("m", F.count("*").over(by_sig)).withColumn("met", F.sum("m").over(Window.partitionBy("cid")))
+    live = table(met.withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "place"), "ranked")
     fit = f"100 * least(na, nb) >= {t} * greatest(na, nb)"
     links = labels = None
     for leader in range(1, LEADERS + 1):
         apart = live.withColumn("label", F.col("cid")) if labels is None else _apart(live, labels, by_sig)
-        lead = apart.where(F.col("place") == leader).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        pairs = apart.withColumnsRenamed({"cid": "b", "n": "nb"}).join(lead, "sig").where(f"la != label and a != b and {fit}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        lead = F.max(F.when(F.col("place") == leader, F.struct(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")))).over(by_sig)
+        led = apart.withColumn("lead", lead).select("lead.*", F.col("cid").alias("b"), F.col("n").alias("nb"), "label").where(f"la != label and a != b and {fit}")
+        pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = verified(pairs, classes, rows, k, t, doc, text)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
