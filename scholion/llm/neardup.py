@@ -9,7 +9,7 @@ Small sets (n up to the boundary) enumerate the pairs of their first d + 2 shing
 large one could match, enter inverted lists with their first d + 1. The boundary is that of least estimated cost over
 the sizes that occur. Lists are not multiplied out: members are first compared with a leader of their list, the one that meets most others, then
 with a second; the links found contract to components, and only members of a list that are still apart are compared. A pair is
-dropped early if parity sketches, a 32nd of the sets' size, bound its overlap too low; the rest are verified on the exact sets.
+formed only where its place in both orders leaves enough shingles, and dropped early if parity sketches, a 32nd of the sets' size, bound its overlap too low; the rest are verified on the exact sets.
 
 Components contract along smallest neighbours in rounds of joins. No link, component or fingerprint is collected; what
 the driver gets are counts, a size histogram, and frequent shingles (at most `frequent_most`, the most frequent ones).
@@ -120,14 +120,14 @@ def boundary(sizes: dict[int, int], t: int, weight: float) -> int:
 
 
 def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, text: str) -> DataFrame:
-    """(sig, cid, n): entries of lists and pairs of shingles; each class once a task."""
+    """(sig, cid, n, at): entries of lists and pairs of shingles, and the place of their first shingle in the order; each class once a task."""
 
     def run(batches):
         common, seen = frequent.value, set()
         for batch in batches:
             buf, offsets = utf8(batch.column(0))
             for _, _, b, o in chunks(buf, offsets):
-                sig, cid, size = [np.zeros(0, np.uint64)], [], []
+                sig, cid, size, place = [np.zeros(0, np.uint64)], [], [], []
                 for s in sets(b, o, k):
                     n, own = len(s), class_id(s)
                     if 100 * n < t * (n + 1) or own in seen:  # too small for any other set to link with
@@ -136,24 +136,24 @@ def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, text: str)
                         seen.add(own)
                     d = n - int(needed(n, t))
                     if len(common):
-                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        late = common[at] == s
+                        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                         s = np.concatenate((s[~late][: d + 2], s[late][: d + 2])) if late.any() else s
                     out = []
                     if n > limit or 100 * n >= t * (limit + 1):
-                        out.append(mix(s[: d + 1]))
+                        out.append((mix(s[: d + 1]), np.arange(min(d + 1, len(s)))))
                     if n <= limit:
                         i, j = np.triu_indices(min(d + 2, len(s)), 1)
                         a, c = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-                        out.append(mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + c))
-                    for x in out:
+                        out.append((mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + c), i))
+                    for x, at in out:
                         sig.append(x)
+                        place.append(at)
                         cid.append(np.full(len(x), own))
                         size.append(np.full(len(x), n))
                 if cid:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cid), pa.int64()), pa.array(np.concatenate(size), pa.int64())], names=["sig", "cid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cid), pa.int64()), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(place), pa.int32())], names=["sig", "cid", "n", "at"])
 
-    return docs.select(text).mapInArrow(run, "sig bigint, cid bigint, n bigint")
+    return docs.select(text).mapInArrow(run, "sig bigint, cid bigint, n bigint, at int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,17 +235,18 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
     classes = table(each.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(doc).alias("keeper")), "classes")
     by_sig = Window.partitionBy("sig")
     entries = signatures(rows, k, t, limit, frequent, text).withColumn("lo", F.min("cid").over(by_sig)).withColumn("hi", F.max("cid").over(by_sig)).where("lo != hi")
-    live = table(entries.select("sig", "cid", "n").distinct(), "live")
+    live = table(entries.select("sig", "cid", "n", "at").distinct(), "live")
 
     # leaders are the members that meet most others over all their lists: the original rather than a copy of it
     met = live.withColumn("m", F.count("*").over(by_sig)).withColumn("met", F.sum("m").over(Window.partitionBy("cid")))
-    live = table(met.withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "place"), "ranked")
-    fit = f"100 * least(na, nb) >= {t} * greatest(na, nb)"
+    live = table(met.withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "at", "place"), "ranked")
+    # of the list of the first shingle that two sets share, the places bound what they share; other lists need not hold the pair
+    fit = f"100 * least(na, nb) >= {t} * greatest(na, nb) and (100 + {t}) * least(na - xa, nb - xb) >= {t} * (na + nb)"
     links = labels = None
     for leader in range(1, LEADERS + 1):
         apart = live.withColumn("label", F.col("cid")) if labels is None else _apart(live, labels, by_sig)
-        lead = F.max(F.when(F.col("place") == leader, F.struct(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")))).over(by_sig)
-        led = apart.withColumn("lead", lead).select("lead.*", F.col("cid").alias("b"), F.col("n").alias("nb"), "label").where(f"la != label and a != b and {fit}")
+        lead = F.max(F.when(F.col("place") == leader, F.struct(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"), F.col("label").alias("la")))).over(by_sig)
+        led = apart.withColumn("lead", lead).select("lead.*", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"), "label").where(f"la != label and a != b and {fit}")
         pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = verified(pairs, classes, rows, k, t, doc, text)
         links = found if links is None else links.unionByName(found)
@@ -253,8 +254,8 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
 
     # what is left: members of a list that are in different components and were not compared with a leader
     apart = table(_apart(live, labels, by_sig).where(F.col("place") > LEADERS), "apart")
-    other = apart.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = apart.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")).join(other, "sig").where(f"a < b and la != lb and {fit}").select("a", "b").distinct()
+    other = apart.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"), F.col("label").alias("lb"))
+    rest = apart.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"), F.col("label").alias("la")).join(other, "sig").where(f"a < b and la != lb and {fit}").select("a", "b").distinct()
     more = verified(rest, classes, rows, k, t, doc, text)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
