@@ -3,7 +3,7 @@
 A text is the set of its distinct k-word shingles; texts of equal sets are one class, which takes part once. Two sets
 link if 100 |A and B| >= t |A or B|. Then either misses at most d = n - ceil(t n / 100) of its own n shingles in the other,
 so in any one order of all shingles their first d + c hold c common ones. The order puts shingles that repeat within a
-task and are frequent in sum last (the order steers cost only; any set of frequent shingles gives the same links).
+block of a task and are frequent in sum last (the order steers cost only; any set of frequent shingles gives the same links).
 
 Small sets (n up to the boundary) enumerate the pairs of their first d + 2 shingles; large ones, and small ones that a
 large one could match, enter inverted lists with their first d + 1. The boundary is that of least estimated cost over
@@ -33,6 +33,8 @@ from .workspace import table
 #: Bits of the parity sketch of a set: a power of two of at least this many and twice the set's size.
 SKETCH = 1024
 BROADCAST_IDS = 2_000_000
+#: Shingles held by a task at a time to find those that repeat in it; counting them takes about 50 bytes each.
+HELD = 1_000_000
 #: Rounds in which the members of a list are compared with one of them, before those still apart are with each other.
 LEADERS = 2
 
@@ -68,7 +70,7 @@ def sets(buf, offsets, k: int):
 
 
 def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
-    """Rows of kind 0: (doc, n, cid, sketch) of each text; of kind 1: (cid: a shingle, n: its texts) of those that repeat in a task."""
+    """Rows of kind 0: (doc, n, cid, sketch) of each text; of kind 1: (cid: a shingle, n: its texts) of those that repeat in a block of a task."""
     kind = to_arrow_type(docs.schema[doc].dataType)
     names = ["kind", doc, "n", "cid", "sketch"]
 
@@ -93,7 +95,7 @@ def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
                     held.append(s)
                     size += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(marks, pa.binary())], names=names)
-            if size > 8_000_000:
+            if size > HELD:
                 yield from repeated()
                 held, size = [], 0
         if held:
