@@ -1,12 +1,14 @@
 """Benchmark decontamination: windows within an edit distance of benchmark items.
 
 The CGK random walk embeds a window so that few edits become few differing places: step j writes the byte it stands on
-and moves on if a random bit of (j, byte) says so. Repeated bit sampling takes some places of the embedding as a key. Item-sized
-windows start at every word (and at bytes chosen by content inside very long words), in documents and, as shifted
+and moves on if a random bit of (j, byte) says so. Repeated bit sampling takes some places of the embedding as a key. Windows
+start at every word (and at bytes chosen by content inside very long words), in documents and, as shifted
 windows, at every such place of the items; so each stretch of an item that is free of edits gives a key of its own, and
-the chance that all of them miss falls with the item's length. Every window of a document whose key an item has becomes a
-candidate with a shift, and is verified by the exact edit distance of the whole item to the best place in the window's
-neighbourhood (bit-parallel over the item). An item is found if the distance is at most (1 - similarity) of its length.
+the chance that all of them miss falls with the item's length. How many steps of the walk a key takes, how many repeats
+there are and whether windows start at every byte is chosen by items' length, words and allowance: the cheapest search
+that finds TARGET of simulated copies with as many random edits as are allowed. Every window of a document whose key an
+item has becomes a candidate with a shift; its stretch of 64 bytes is tested first, for many candidates at once, then the
+exact edit distance of the whole item to the best place in the window's neighbourhood (bit-parallel over the item). An item is found if the distance is at most (1 - similarity) of its length.
 
 Texts are compared with A-Z lower-cased and white space as blanks. Items travel in slices of at most `slice_bytes`, each
 broadcast by itself, so a benchmark of any size needs a bounded table in memory; documents are read, never shuffled.
@@ -24,8 +26,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .spans import LOWER, SPACE, chunks, mix, utf8
 
-EARLY, STEPS, PLACES, REPEATS, SEED = 16, 48, 8, 2, 20240607
-EARLY_BITS = 22
+STEPS, SEED = 48, 20240607
+#: Steps of the embedding after which a key can end; half of the steps are sampled.
+DEPTHS = (8, 12, 16, 20, 24, 32, 48)
+#: Share of copies at the full allowance that the simulated search must find, the copies, and (every byte, repeats) by cost.
+TARGET, COPIES, CHOICES = 0.97, 256, ((False, 2), (False, 4), (True, 2), (True, 4), (True, 8))
+#: Candidates tested at once.
+BATCH = 1 << 13
 BLANK = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
 
 
@@ -34,41 +41,44 @@ def walk_bits(repeat: int) -> np.ndarray:
 
 
 def sampled(repeat: int) -> set[int]:
-    """Places of the embedding in the key: some of the early steps, and as many of the later ones."""
+    """Places of the embedding in the key: two of every four steps."""
     rng = np.random.default_rng(SEED + 1000 + repeat)
-    return {*rng.choice(EARLY, PLACES, replace=False).tolist(), *(EARLY + rng.choice(STEPS - EARLY, PLACES, replace=False)).tolist()}
+    return {j + int(x) for j in range(0, STEPS, 4) for x in rng.choice(4, 2, replace=False)}
 
 
-def keys(text: np.ndarray, starts: np.ndarray, repeat: int, early: np.ndarray | None = None):
-    """(windows, their keys): the sampled places of the embedding of the windows at starts, as one hash each.
+def walk(text: np.ndarray, starts: np.ndarray, repeat: int, seen: dict | None = None):
+    """Yields (depth, windows, their keys, where they end): the sampled places up to each depth as one hash.
 
-    early: a table of the hashes of the places of the early steps; the walk ends there for windows that it lacks."""
+    seen: for each depth a table by the first bits of the keys; the walk ends there for windows that it lacks."""
     padded = np.append(text, np.zeros(STEPS, np.uint8))
     bits, places = walk_bits(repeat), sampled(repeat)
-    kept, at, out = np.arange(len(starts)), starts.astype(np.int32), np.full(len(starts), repeat + 1, np.uint32)
-    for j in range(max(places) + 1):
-        if j == EARLY and early is not None:
-            some = np.flatnonzero(early[(out * np.uint32(0x9E3779B1)) >> np.uint32(32 - EARLY_BITS)])
-            kept, at, out = kept[some], at[some], out[some]
-        if j == EARLY:
-            out = out.astype(np.uint64)
+    kept, at, out = np.arange(len(starts)), starts.astype(np.int32), np.full(len(starts), repeat + 1, np.uint64)
+    for j in range(STEPS if seen is None else max(seen, default=0)):
         c = padded[at]
         if j in places:
-            out = out * (np.uint32(0x01000193) if j < EARLY else np.uint64(0x100000001B3)) + c
+            out = out * np.uint64(0x100000001B3) + c
         at += bits[j][c]
-    return kept, mix(out)
-
-
-def early_hashes(text, starts, repeat):
-    """Numbers of the entries of keys()' table for these windows."""
-    padded = np.append(text, np.zeros(STEPS, np.uint8))
-    at, out, places = starts.astype(np.int32), np.full(len(starts), repeat + 1, np.uint32), sampled(repeat)
-    for j in range(EARLY):
-        c = padded[at]
-        if j in places:
-            out = out * np.uint32(0x01000193) + c
-        at += walk_bits(repeat)[j][c]
-    return (out * np.uint32(0x9E3779B1)) >> np.uint32(32 - EARLY_BITS)
+        if j + 1 in DEPTHS if seen is None else j + 1 in seen:
+            k = mix(out)
+            if seen is not None:
+                table = seen[j + 1]
+                some = np.flatnonzero(table[(k >> np.uint64(65 - len(table).bit_length())).astype(np.int64)])
+                kept, at, out, k = kept[some], at[some], out[some], k[some]
+            yield j + 1, kept, k, at.copy()
+
+
+def edited(text: np.ndarray, edits: int, rng) -> np.ndarray:
+    """text after random changes, losses and gains of single bytes."""
+    out = text.tolist()
+    for _ in range(edits):
+        kind, at, c = rng.integers(3), int(rng.integers(len(out))), int(text[rng.integers(len(text))])
+        if kind == 0:
+            out[at] = c
+        elif kind == 1:
+            out.insert(at, c)
+        elif len(out) > 1:
+            del out[at]
+    return np.array(out, np.uint8)
 
 
 def window_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,47 +122,188 @@ def best_place(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def all_starts(text: np.ndarray, offsets: np.ndarray, every: bool) -> np.ndarray:
+    return np.arange(len(text)) if every else window_starts(text, offsets)
+
+
 class Items:
     def __init__(self, rows: list[tuple], similarity: float, least: int):
         self.rows = [(i, BLANK[np.frombuffer((x or "").encode(), np.uint8)].tobytes().strip(b" ")) for i, x in rows]
         self.allowed = [int((1 - similarity) * len(x) + 1e-9) for _, x in self.rows]
         self.short = [n for n, (_, x) in enumerate(self.rows) if 0 < len(x) < least]
-        self.early = np.zeros((REPEATS, 1 << EARLY_BITS), bool)
-        k, item, shift = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        kinds: dict[tuple, list[int]] = {}
         for n, (_, x) in enumerate(self.rows):
             if len(x) >= least:
                 text = np.frombuffer(x, np.uint8)
-                starts = window_starts(text, np.array([0, len(x)]))
-                starts = starts[starts <= len(x) - least // 2]
-                for r in range(REPEATS):
-                    k.append(keys(text, starts, r)[1])
-                    self.early[r][early_hashes(text, starts, r)] = True
-                    item.append(np.full(len(starts), n))
-                    shift.append(starts)
-        k, item, shift = np.concatenate(k), np.concatenate(item), np.concatenate(shift)
-        order = np.argsort(k, kind="stable")
-        self.keys, self.item, self.shift = k[order], item[order], shift[order]
+                starts = len(window_starts(text, np.array([0, len(x)])))
+                kinds.setdefault((int(np.log(len(x)) / np.log(1.1)), int(2 * np.log2(starts + 1))), []).append(n)
+        self.plans = {}
+        for members in kinds.values():
+            plan = self._plan(members)
+            self.plans |= dict.fromkeys(members, plan)
+        self._index()
+        self._blocks()
+
+    def _plan(self, members: list[int]) -> tuple[bool, int, int]:
+        """(every byte, repeats, depth): the cheapest search that finds TARGET of copies at the full allowance.
+
+        Simulated on copies of some of these items, which are alike in length and words."""
+        rng = np.random.default_rng(SEED)
+        some = members[:: -(-len(members) // 8)]
+        texts = [np.frombuffer(self.rows[n][1], np.uint8) for n in some]
+        copies = [(i, edited(texts[i], self.allowed[some[i]], rng)) for i in range(len(some)) for _ in range(-(-COPIES // len(some)))]
+        best = (-1.0, (True, CHOICES[-1][1], DEPTHS[0]))
+        for every in (False, True):
+            hit = {d: np.zeros(len(copies), bool) for d in DEPTHS}
+            starts = [all_starts(x, np.array([0, len(x)]), every) for x in texts]
+            buf = np.concatenate([x for _, c in copies for x in (np.full(STEPS, 0x20, np.uint8), c)])
+            first = np.cumsum([STEPS + len(c) for _, c in copies]) - [len(c) for _, c in copies]
+            where = np.concatenate([f + all_starts(c, np.array([0, len(c)]), every) for f, (_, c) in zip(first, copies, strict=True)])
+            copy = np.searchsorted(first, where, "right") - 1
+            repeats = {r for e, r in CHOICES if e == every}
+            for r in range(max(repeats)):
+                own = [{d: (k[e < len(x)], starts[i][w[e < len(x)]]) for d, w, k, e in walk(x, starts[i], r)} for i, x in enumerate(texts)]
+                for d, w, k, _ in walk(buf, where, r):
+                    for c in np.flatnonzero(~hit[d]):
+                        lo, hi = np.searchsorted(copy, c), np.searchsorted(copy, c, "right")
+                        i = copies[c][0]
+                        keys, shift = own[i][d]
+                        a, b = np.nonzero(keys[:, None] == k[None, lo:hi])
+                        hit[d][c] = bool((abs(shift[a] - (where[lo:hi][b] - first[c])) <= self.allowed[some[i]]).any())
+                if r + 1 in repeats:
+                    for d in reversed(DEPTHS):
+                        share = float(hit[d].mean())
+                        if share >= TARGET:
+                            return every, r + 1, d
+                        best = max(best, (share, (every, r + 1, d)))
+        return best[1]
+
+    def _index(self):
+        """Sorted keys by (every byte, repeat, depth), and the tables that end walks early."""
+        held: dict[tuple, list] = {}
+        prefixes: dict[tuple, list] = {}
+        for n, (every, repeats, depth) in self.plans.items():
+            text = np.frombuffer(self.rows[n][1], np.uint8)
+            starts = all_starts(text, np.array([0, len(text)]), every)
+            for r in range(repeats):
+                found = {d: (k, e) for d, _, k, e in walk(text, starts, r)}
+                k, end = found[depth]
+                whole = end < len(text)  # the walk read nothing behind the item
+                held.setdefault((every, r, depth), []).append((k[whole], np.full(whole.sum(), n), starts[whole]))
+                for d in DEPTHS[: DEPTHS.index(depth) + 1]:
+                    prefixes.setdefault((every, r, d), []).append(found[d][0][whole])
+        self.index, self.seen = {}, {}
+        for key, parts in held.items():
+            k, item, shift = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(k, kind="stable")
+            self.index[key] = k[order], item[order], shift[order]
+        least = {}
+        for every, r, d in held:
+            least[every, r] = min(d, least.get((every, r), STEPS))
+        for (every, r, d), parts in prefixes.items():
+            if d >= least[every, r]:
+                k = np.concatenate(parts)
+                bits = min(24, max(12, len(k).bit_length() + 4))
+                table = np.zeros(1 << bits, bool)
+                table[(k >> np.uint64(64 - bits)).astype(np.int64)] = True
+                self.seen.setdefault((every, r), {})[d] = table
+
+    def _blocks(self):
+        """Stretches of 64 bytes of the items, for a first test of candidates, as bit masks by the low five bits of a byte.
+
+        A stretch around a shared key in a copy holds more than the limit of edits only if they crowd there, and then
+        the keys of other stretches are more. For items of up to 64 bytes the test is exact but for equal low bits."""
+        self.block_of, starts, sizes, limits, masks = {}, [], [], [], []
+        for n in self.plans:
+            x, slack = np.frombuffer(self.rows[n][1], np.uint8), self.allowed[n]
+            m = min(64, len(x))
+            rate = slack / len(x)
+            self.block_of[n] = (len(starts), len(x))
+            for at in [*range(0, len(x) - m, 32), len(x) - m]:
+                mask = np.zeros(32, np.uint64)
+                np.bitwise_or.at(mask, x[at : at + m] & 31, np.uint64(1) << np.arange(m, dtype=np.uint64))
+                starts.append(at)
+                sizes.append(m)
+                limits.append(slack if m == len(x) else int(m * rate + 3 * (m * rate * (1 - rate)) ** 0.5))
+                masks.append(mask)
+        self.block_at, self.block_size, self.block_limit = np.array(starts, np.int64), np.array(sizes, np.int64), np.array(limits, np.int64)
+        self.masks = np.array(masks, np.uint64).reshape(-1, 32)
+        self.first_block, self.item_size, self.slack = (np.zeros(len(self.rows), np.int64) for _ in range(3))
+        for n, (b, size) in self.block_of.items():
+            self.first_block[n], self.item_size[n], self.slack[n] = b, size, self.allowed[n]
+
+    def _block(self, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """The block of the item around each shift."""
+        size = self.item_size[item]
+        last = np.where(size > 64, -(-(size - 64) // 32), 0)
+        return self.first_block[item] + np.clip((shift - 16) // 32, 0, last)
+
+    def _near(self, text: np.ndarray, block: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the block lies within its limit of a part of text around each place (bit-parallel over the block)."""
+        ok = np.zeros(len(block), bool)
+        low = text & 31
+        one = np.uint64(1)
+        for lo in range(0, len(block), BATCH):
+            b = block[lo : lo + BATCH]
+            m, limit = self.block_size[b], self.block_limit[b]
+            begin = at[lo : lo + BATCH] - limit
+            shift = (m - 1).astype(np.uint64)
+            full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - shift)
+            pv, mv, score, best = full.copy(), np.zeros(len(b), np.uint64), m.copy(), m.copy()
+            base = b * 32
+            flat = self.masks.reshape(-1)
+            for j in range(int((m + 2 * limit).max(initial=0))):
+                place = np.clip(begin + j, 0, len(text) - 1)
+                eq = flat[base + low[place]]
+                xh = (((eq & pv) + pv) ^ pv) | eq | mv
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += ((ph >> shift) & one).astype(np.int64) - ((mh >> shift) & one).astype(np.int64)
+                xv = eq | mv
+                ph, mh = ph << one, mh << one
+                pv, mv = mh | ~(xv | ph), ph & xv
+                np.minimum(best, score, out=best)
+            ok[lo : lo + BATCH] = best <= limit
+        return ok
+
+    def _tries(self, text, offsets) -> set[tuple[int, int, int]]:
+        """(row, item, place) of windows that share a key with an item and pass the first test."""
+        tries = set()
+        for every, r in sorted(self.seen):
+            starts = all_starts(text, offsets, every)
+            for depth, windows, k, _ in walk(text, starts, r, self.seen[every, r]):
+                if (every, r, depth) not in self.index:
+                    continue
+                keys, item, shift = self.index[every, r, depth]
+                lo, hi = np.searchsorted(keys, k), np.searchsorted(keys, k, "right")
+                hit = np.flatnonzero(hi > lo)
+                ends = np.cumsum((hi - lo)[hit])
+                a = 0
+                while a < len(hit):  # some hundred thousand candidates at once
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 18), "right")))
+                    x = hit[a:b]
+                    n = hi[x] - lo[x]
+                    e = np.repeat(lo[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    w = starts[windows[np.repeat(x, n)]]
+                    place, of = w - shift[e], item[e]
+                    block = self._block(of, shift[e])
+                    spot, first = np.unique(np.stack([block, place]), axis=1, return_index=True)
+                    good = first[self._near(text, spot[0], spot[1] + self.block_at[spot[0]])]
+                    row = np.searchsorted(offsets, w[good], "right") - 1
+                    tries.update(zip(row.tolist(), of[good].tolist(), place[good].tolist(), strict=True))
+                    a = b
+        return tries
 
     def found(self, buf, offsets):
         """For each row a list of (item number, distance, start, end), one for each item found, at its best place."""
         text = BLANK[buf]
-        starts = window_starts(text, offsets)
-        row_of = np.searchsorted(offsets, starts, "right") - 1
-        tries = set()
-        for r in range(REPEATS):
-            windows, k = keys(text, starts, r, self.early[r])
-            lo, hi = np.searchsorted(self.keys, k), np.searchsorted(self.keys, k, "right")
-            for x in np.flatnonzero(hi > lo).tolist():
-                w = windows[x]
-                for e in range(lo[x], hi[x]):
-                    tries.add((int(row_of[w]), int(self.item[e]), int(starts[w] - self.shift[e])))
+        tries = self._tries(text, offsets) if len(text) else set()
         out = [{} for _ in range(len(offsets) - 1)]
         covered = {}
         for row, n, at in sorted(tries):
             item, slack = self.rows[n][1], self.allowed[n]
             if at <= covered.get((row, n), -1):
                 continue  # shifts this near were in the neighbourhood that was searched
-            lo, hi = max(int(offsets[row]), at - slack), min(int(offsets[row + 1]), at + len(item) + 2 * slack)
+            lo, hi = max(int(offsets[row]), at - slack), min(int(offsets[row + 1]), at + len(item) + 2 * slack + slack // 2)
             covered[row, n] = at + slack // 2
             distance, end = best_place(item, text[lo:hi].tobytes())
             if distance <= slack and (n not in out[row] or distance < out[row][n][0]):
