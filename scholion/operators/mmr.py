@@ -28,17 +28,21 @@ def picks(scores, routes, categories, words, k: int, weight: float) -> list[int]
     return out
 
 
-def rerank(df: DataFrame, group: str, k: int = 10, weight: float = 0.7, candidates: int = 25) -> DataFrame:
-    """(group, paper_id, place): the `candidates` best papers of each group (a cut that runs before the shuffle), re-ranked.
+def rerank(df: DataFrame, group: str, k: int = 10, weight: float = 0.7) -> DataFrame:
+    """(group, paper_id, place): the k picks from all papers of each group; ids are unique per group.
 
-    Groups are bounded by that cut; ids are unique per group."""
+    Left out before the papers meet are only those that cannot be picked: before the last pick one of the k best scores is
+    left, whose value is at least weight * score / 100 - (1 - weight), and similarity only lowers a value."""
     from pyspark.sql import Window
 
     best = Window.partitionBy(group).orderBy(F.desc("score"), "paper_id")
-    cut = df.select(group, "paper_id", "score", "route", "category", "words").withColumn("seq", F.row_number().over(best)).where(F.col("seq") <= candidates)
+    rows = df.select(group, "paper_id", F.coalesce("score", F.lit(0)).alias("score"), "route", "category", "words")
+    top = rows.select(group, "paper_id", "score").withColumn("seq", F.row_number().over(best)).where(F.col("seq") <= k)
+    least = top.groupBy(group).agg((weight * F.min("score") - 100 * (1 - weight) - 1e-6).alias("least"))
+    cut = rows.alias("r").join(least.alias("l"), F.col(f"r.{group}").eqNullSafe(F.col(f"l.{group}"))).where(weight * F.col("r.score") >= F.col("l.least")).select("r.*")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq").reset_index(drop=True)
+        g = g.sort_values(["score", "paper_id"], ascending=[False, True]).reset_index(drop=True)
         order = picks(g["score"].tolist(), g["route"].tolist(), g["category"].tolist(), [set(w) for w in g["words"]], k, weight)
         return pd.DataFrame({group: g[group].iloc[order].to_numpy(), "paper_id": g["paper_id"].iloc[order].to_numpy(), "place": np.arange(1, len(order) + 1, dtype=np.int32)})
 
@@ -50,7 +54,7 @@ def _rows(d):
 
 
 def mmr_rerank(spark, sf_dir):
-    """The ten most useful papers of each year's twenty-five best."""
+    """The ten most useful papers of each year."""
     text = _rows(SPARK)
     register(spark, sf_dir, text)
     return rerank(spark.sql(text), "year")

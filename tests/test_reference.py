@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from scholion.functions import text as T
-from scholion.operators import bfs, judge
+from scholion.operators import bfs, judge, mmr
 from scholion.plans import registry
 from scholion.plans.bindings import TABLES
 from scholion.plans.dialect import SPARK
@@ -71,3 +71,18 @@ def test_files_and_stream(spark, sf, tmp_path):
     out = next((tmp_path / "out").glob("part-*")).read_bytes()
     assert out.startswith("﻿".encode()) or out.startswith('"﻿'.encode())
     assert windowed_cost(spark.read.parquet(f"{sf}/events.parquet")).agg({"calls": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_mmr_takes_papers_of_lower_scores(spark):
+    rows = [(g, 100 * g + i, 90 - i // 10, "a", "x", [f"w{i}"]) for g in (1, 2) for i in range(40)] + [(1, 190, 60, "b", "y", ["z"]), (2, 290, 30, "b", "y", ["z"]), (None, 5, None, "a", "x", [])]
+    df = spark.createDataFrame(rows, "year int, paper_id bigint, score int, route string, category string, words array<string>")
+    got = {(r.year, r.place): r.paper_id for r in mmr.rerank(df, "year").collect()}
+    want = {}
+    for year in (1, 2, None):
+        left, chosen = sorted((r for r in rows if r[0] == year), key=lambda r: (-(r[2] or 0), r[1])), []
+        same = lambda a, b: max(float(a[3] == b[3]), 0.6 * (a[4] == b[4]), len({*a[5]} & {*b[5]}) / max(1, len({*a[5]} | {*b[5]})))
+        while left and len(chosen) < 10:
+            chosen.append(max(left, key=lambda r: round(0.7 * (r[2] or 0) / 100 - 0.3 * max((same(r, c) for c in chosen), default=0.0), 12)))
+            left.remove(chosen[-1])
+        want |= {(year, i): r[1] for i, r in enumerate(chosen, 1)}
+    assert got == want and got[1, 2] == 190
