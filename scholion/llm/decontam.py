@@ -14,10 +14,12 @@ Texts are compared with A-Z lower-cased and white space as blanks. Items travel
 broadcast by itself, so a benchmark of any size needs a bounded table in memory; documents are read, never shuffled.
 
 Defined cases: null and empty texts or items match nothing; items shorter than `least` bytes are found only as exact
-runs of whole words; equal items are reported each; repeated documents are reported each; a null doc_id is reported as
+runs of whole words, which white space, marks and unspaced scripts part; equal items are reported each; repeated documents are reported each; a null doc_id is reported as
 null; an empty table gives no rows; other columns are ignored.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,6 +124,17 @@ def best_place(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(item: bytes) -> re.Pattern:
+    """The item as a run of whole words: its blanks stand for runs of blanks, and marks and unspaced scripts part words."""
+    text = rb" +".join(re.escape(w) for w in item.split(b" ") if w)
+    wide, letter = rb"[\xe3-\xed]", rb"[0-9a-z\x80-\xff]"  # first bytes of U+3000 to U+DFFF; bytes of other words
+    if re.match(rb"(?!" + wide + rb")" + letter, item):
+        text = rb"(?:(?<!" + letter + rb")|(?<=" + wide + rb"[\x80-\xbf]{2}))" + text
+    if re.search(letter + rb"\Z", item) and not re.search(wide + rb"[\x80-\xbf]{2}\Z", item):
+        text += rb"(?:(?!" + letter + rb")|(?=" + wide + rb"))"
+    return re.compile(text)
+
+
 def all_starts(text: np.ndarray, offsets: np.ndarray, every: bool) -> np.ndarray:
     return np.arange(len(text)) if every else window_starts(text, offsets)
 
@@ -131,6 +144,7 @@ class Items:
         self.rows = [(i, BLANK[np.frombuffer((x or "").encode(), np.uint8)].tobytes().strip(b" ")) for i, x in rows]
         self.allowed = [int((1 - similarity) * len(x) + 1e-9) for _, x in self.rows]
         self.short = [n for n, (_, x) in enumerate(self.rows) if 0 < len(x) < least]
+        self.forms = {n: (max(self.rows[n][1].split(b" "), key=len), whole_words(self.rows[n][1])) for n in self.short}
         kinds: dict[tuple, list[int]] = {}
         for n, (_, x) in enumerate(self.rows):
             if len(x) >= least:
@@ -310,13 +324,13 @@ class Items:
                 begin = self._begin(item, text[lo : lo + end].tobytes())
                 base = int(offsets[row])
                 out[row][n] = (distance, lo + begin - base, lo + end - base)
-        if self.short:
-            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                whole = b" " + text[a:b].tobytes() + b" "
-                for n in self.short:
-                    at = whole.find(b" " + self.rows[n][1] + b" ")
-                    if at >= 0:
-                        out[row][n] = (0, at, at + len(self.rows[n][1]))
+        for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if self.short else ()):
+            whole = text[a:b].tobytes()
+            for n in self.short:
+                word, form = self.forms[n]
+                at = form.search(whole) if word in whole else None
+                if at:
+                    out[row][n] = (0, *at.span())
         return [[(n, *x) for n, x in sorted(o.items())] for o in out]
 
     @staticmethod

@@ -249,6 +249,13 @@ def test_decontamination_recall_up_to_the_allowance(low, high):
     assert all(g[1] <= items.allowed[g[0]] for f in got for g in f)
 
 
+def test_decontamination_of_short_items():
+    items = decontam.Items([(0, "short one"), (1, "一二三四五"), (2, "what?")], 0.8, 32)
+    rows = ["a (short one), b", 'the "short one"?', "short\n  one", "中short one文", "ashort one", "short ones", "éshort one", "零一二三四五六", "so what? yes", "一二三四六", ""]
+    got = [[(g[0], g[1]) for g in f] for f in items.found(*spans.utf8(pa.array(rows)))]
+    assert got == [[(0, 0)]] * 4 + [[]] * 3 + [[(1, 0)], [(2, 0)], [], []]
+
+
 # ---- language model
 
 
