@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .spans import LOWER, SPACE, chunks, mix, utf8
+from .workspace import per_batch
 
 STEPS, SEED = 48, 20240607
 #: Steps of the embedding after which a key can end; half of the steps are sampled.
@@ -373,7 +374,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, leas
                 kinds = (to_arrow_type(kind), to_arrow_type(item_kind), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[doc, item, "distance", "item_bytes", "similarity", "start", "end"])
 
-        found = rows.mapInArrow(run, schema)
+        found = per_batch(rows, run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -389,5 +390,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least:
                 buf, offsets = utf8(batch.column(at))
                 yield batch.filter(pa.array([not f for _, _, b, o in chunks(buf, offsets) for f in shared.value.found(b, o)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = per_batch(docs, run, docs.schema)
     return docs

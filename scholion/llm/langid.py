@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .folds import folds
 from .spans import chunks, code_points, mix, utf8
+from .workspace import per_batch
 
 LONGEST = 4
 UNKNOWN = "und"
@@ -97,7 +98,7 @@ def profiles(df: DataFrame, hold, size: int, doc: str, text: str, lang: str) ->
                 sums, room = {}, 0
         yield from out()
 
-    counts = df.select(doc, text, lang).mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = per_batch(df.select(doc, text, lang), run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     out = {}
     for row in sorted(top.select("lang", "gram", "place").collect(), key=lambda r: (r.lang, r.place)):  # size rows a language
@@ -126,7 +127,7 @@ def predict(df: DataFrame, fold: int = 4, held: int = 2, size: int = 300, doc: s
             pred, score, distance = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(hold(ids)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], names=[doc, "held_out", "lang_pred", "score", "distance"])
 
-    return rows.mapInArrow(run, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, lang_pred string, score double, distance double")
+    return per_batch(rows, run, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, lang_pred string, score double, distance double")
 
 
 def keep(df: DataFrame, most: float = 0.95, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -140,7 +141,7 @@ def keep(df: DataFrame, most: float = 0.95, fold: int = 4, held: int = 2, size:
             got = [judged(g, names, known, places, size) for _, _, b, o in chunks(buf, offsets) for g in ngrams(b, o)]
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[2] <= most for x in got], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return per_batch(df, run, df.schema)
 
 
 def _table(learnt: dict, size: int):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .spans import chunks, hashes, mix, shingles, utf8, words
-from .workspace import table
+from .workspace import drop, per_batch, table
 
 #: Bits of the parity sketch of a set: a power of two of at least this many and twice the set's size.
 SKETCH = 1024
@@ -101,7 +101,7 @@ def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
         if held:
             yield from repeated()
 
-    return docs.select(doc, text).mapInArrow(run, f"kind int, `{doc}` {docs.schema[doc].dataType.simpleString()}, n bigint, cid bigint, sketch binary")
+    return per_batch(docs.select(doc, text), run, f"kind int, `{doc}` {docs.schema[doc].dataType.simpleString()}, n bigint, cid bigint, sketch binary")
 
 
 def boundary(sizes: dict[int, int], t: int, weight: float) -> int:
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, text: str)
                 if cid:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cid), pa.int64()), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(place), pa.int32())], names=["sig", "cid", "n", "at"])
 
-    return docs.select(text).mapInArrow(run, "sig bigint, cid bigint, n bigint, at int")
+    return per_batch(docs.select(text), run, "sig bigint, cid bigint, n bigint, at int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
 
     kind = docs.schema[doc].dataType.simpleString()
     likely = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(na, nb) >= {t} * greatest(na, nb) and ka is not null and kb is not null")
-    likely = table(likely.select("a", "b", "na", "nb", "sa", "sb", "ka", "kb").mapInArrow(bounded, f"a bigint, b bigint, ka {kind}, kb {kind}"), "likely")
+    likely = table(per_batch(likely.select("a", "b", "na", "nb", "sa", "sb", "ka", "kb"), bounded, f"a bigint, b bigint, ka {kind}, kb {kind}"), "likely")
     ids = table(likely.select(F.explode(F.array("ka", "kb")).alias(doc)).distinct(), "likely_ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
                 got = list(sets(b, o, k))
                 yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["cid", "items"])
 
-    full = docs.select(doc, text).join(ids, doc, "left_semi").select(text).mapInArrow(whole, "cid bigint, items binary")
+    full = per_batch(docs.select(doc, text).join(ids, doc, "left_semi").select(text), whole, "cid bigint, items binary")
     full = table(full.dropDuplicates(["cid"]), "sets")
 
     def exact(batches):
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     held = lambda c: full.select(F.col("cid").alias(c), F.col("items").alias(f"i{c}"))
-    return table(likely.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "ia", "ib").mapInArrow(exact, "a bigint, b bigint"), "links")
+    return table(per_batch(likely.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "ia", "ib"), exact, "a bigint, b bigint"), "links")
 
 
 def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, frequent_most: int = 1_000_000, doc: str = "doc_id", text: str = "text") -> DataFrame:

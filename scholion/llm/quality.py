@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .folds import fold as fold_of
 from .folds import folds, sample
 from .spans import chunks, hashes, mix, utf8, words
+from .workspace import per_batch
 
 BITS = 18
 
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, ratings: DataFrame, fold: int, held: int, examples: int
             out = [x for _, _, b, o in chunks(buf, offsets) for x in features(b, o)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], names=["grade", "weight", doc, "i", "v"])
 
-    got = rows.mapInArrow(run, f"grade int, weight double, `{doc}` {docs.schema[doc].dataType.simpleString()}, i binary, v binary").collect()  # at most examples x grades rows
+    got = per_batch(rows, run, f"grade int, weight double, `{doc}` {docs.schema[doc].dataType.simpleString()}, i binary, v binary").collect()  # at most examples x grades rows
     got.sort(key=lambda r: (r[doc], r.grade, r.i))
     kinds = sorted({r.grade for r in got})
     if len(kinds) < 2:
@@ -122,7 +123,7 @@ def score(docs: DataFrame, ratings: DataFrame, fold: int = 5, held: int = 0, exa
             kept = tails[:, min(keep, tails.shape[1]) - 1] >= at_least
             yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array(folds(ids, fold) == held), pa.array(expected), pa.array(tails.tolist(), pa.list_(pa.float64())), pa.array(kept)], names=[doc, "held_out", "expected_grade", "tails", "kept"])
 
-    return rows.mapInArrow(run, f"`{doc}` {kind.simpleString()}, held_out boolean, expected_grade double, tails array<double>, kept boolean")
+    return per_batch(rows, run, f"`{doc}` {kind.simpleString()}, held_out boolean, expected_grade double, tails array<double>, kept boolean")
 
 
 def keep(docs: DataFrame, ratings: DataFrame, tail: int = 1, at_least: float = 0.5, fold: int = 5, held: int = 0, examples: int = 1500, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
@@ -139,7 +140,7 @@ def keep(docs: DataFrame, ratings: DataFrame, tail: int = 1, at_least: float = 0
                 batch = batch.filter(pa.array(logistic(z - m[2][min(tail, len(m[2])) - 1]) >= at_least))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return per_batch(docs, run, docs.schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:

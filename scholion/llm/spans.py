@@ -1,7 +1,8 @@
 """Vectorised text primitives over Arrow string buffers: no Python object is made per character, word or shingle.
 
 Every function takes the UTF-8 bytes of many rows laid end to end and the offsets of the rows in them, so one
-call handles a chunk of whole documents. Chunks never cut a document: one longer than the limit is a chunk alone.
+call handles a chunk of whole documents. Chunks never cut a document: one longer than the limit is a chunk alone, whose
+working arrays are made block by block, so that it takes some ten bytes for each of its own and not fifty.
 """
 
 import numpy as np
@@ -19,7 +20,9 @@ LOWER[0x41:0x5B] += 32
 #: White space and ASCII punctuation.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
-CHUNK = 2 << 20
+CHUNK = 512 << 10
+#: Bytes of a text whose wide working arrays are held at a time.
+BLOCK = 1 << 20
 
 _odd = np.zeros(0, np.uint64)
 
@@ -66,26 +69,27 @@ def code_points(buf) -> tuple[np.ndarray, np.ndarray]:
     return at, np.minimum(point, 0x10FFFF)
 
 
+def _word_edges(gap, cut, lo, hi):
+    """Places at which words start and end in gap[lo:hi]; cut: rows start there, which parts words as well."""
+    here = gap[lo:hi]
+    left, right = np.empty(hi - lo, bool), np.empty(hi - lo, bool)
+    left[0], left[1:] = lo == 0 or gap[lo - 1], here[:-1]
+    right[-1], right[:-1] = hi == len(gap) or gap[hi], here[1:]
+    inside = cut[np.searchsorted(cut, lo) : np.searchsorted(cut, hi)]
+    left[inside - lo] = True
+    inside = cut[np.searchsorted(cut, lo + 1) : np.searchsorted(cut, hi, "right")]
+    right[inside - 1 - lo] = True
+    return np.flatnonzero(~here & left) + lo, np.flatnonzero(~here & right) + lo + 1
+
+
 def words(buf, offsets, lower=True, gaps=SPACE):
     """(bytes of all words end to end, int64 offsets of the words, index of each row's first word and the end).
 
     gaps: for each byte value whether it parts words."""
     gap = gaps[buf]
-    text = ~gap
-    left = np.empty(len(buf) + 1, bool)
-    left[0] = left[-1] = True
-    left[1:] = np.append(gap[:-1], True) if len(buf) else True
-    if len(buf):
-        left[1:-1] = gap[:-1]
-        left[offsets] = True
-    starts = np.flatnonzero(text & left[:-1]) if len(buf) else np.zeros(0, np.int64)
-    right = np.empty(len(buf), bool)
-    if len(buf):
-        right[:-1] = gap[1:]
-        right[-1] = True
-        right[offsets[1:][offsets[1:] > 0] - 1] = True
-    ends = np.flatnonzero(text & right) + 1 if len(buf) else starts
-    data = buf[text]
+    found = [_word_edges(gap, offsets, lo, min(lo + BLOCK, len(buf))) for lo in range(0, len(buf), BLOCK)]
+    starts, ends = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    data = buf[~gap]
     at = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=at[1:])
     return (LOWER[data] if lower else data), at, np.searchsorted(starts, offsets)
@@ -102,6 +106,7 @@ def _coefficients(n: int) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective mixing of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -109,12 +114,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hashes(data, at) -> np.ndarray:
     """A 64-bit multilinear hash of each segment data[at[i]:at[i+1]]; segments are not empty."""
-    if len(at) < 2:
-        return np.zeros(0, np.uint64)
-    size = np.diff(at)
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(at[:-1], size)
-    odd = _coefficients(int(size.max()) + 1)
-    return mix(np.add.reduceat(odd[place] * (data.astype(np.uint64) + np.uint64(1)), at[:-1]) + size.astype(np.uint64))
+    n = len(at) - 1
+    out, lo = np.zeros(max(0, n), np.uint64), 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (BLOCK >> 2), "right")) - 1)
+        edge = at[lo : hi + 1] - at[lo]
+        size = np.diff(edge)
+        odd = _coefficients(int(size.max()) + 1)
+        part = odd[np.arange(edge[-1]) - np.repeat(edge[:-1], size)]
+        part *= data[at[lo] : at[hi]].astype(np.uint64) + np.uint64(1)
+        out[lo:hi] = mix(np.add.reduceat(part, edge[:-1]) + size.astype(np.uint64))
+        lo = hi
+    return out
 
 
 def shingles(word_hashes, first, k: int):

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import per_batch
+
 
 def bitmap(bits: np.ndarray) -> np.ndarray:
     """Packed 64-bit words of a boolean row or rows; the length must be a multiple of 64."""
@@ -140,5 +142,5 @@ def top(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int
                 yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int64()), pa.array([hash(tuple(v))] * len(found), pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "query", "vec_id", "score"])
 
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    got = dealt.mapInArrow(run, "query_id bigint, query bigint, vec_id bigint, score bigint")
+    got = per_batch(dealt, run, "query_id bigint, query bigint, vec_id bigint, score bigint")
     return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

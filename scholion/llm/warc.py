@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import shared_dir, table
+from .workspace import per_batch, shared_dir, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, at: str, date: str = "1970-01-01T00:00:00Z"
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], names=["content"])
 
-    made = joined.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
+    made = per_batch(joined, run, "content binary").select(F.col("content").cast("string").alias("value"))
     made.write.option("maxRecordsPerFile", 1).option("lineSep", GAP.decode()).mode("overwrite").text(at)
 
 
@@ -232,7 +232,7 @@ def read_archives(spark: SparkSession, at: str, payload: bool = True) -> DataFra
 
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     SCHEMA = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, RECORD.split(", "), strict=True)])
-    return spark.read.format("binaryFile").load(at).select("path", "content").mapInArrow(run, RECORD)
+    return per_batch(spark.read.format("binaryFile").load(at).select("path", "content"), run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -247,4 +247,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
             own, refers = ([page_id(x) for x in batch.column(i).to_pylist()] for i in (0, 4))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns[1:4], pa.array(refers, pa.int64()), batch.column(5)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
 
-    return records.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to_id", "error").mapInArrow(ids, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, error string")
+    return per_batch(records.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to_id", "error"), ids, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, error string")
