@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .distinct import by_distinct_word, gather, pack, unpack
 from .spans import binary, chunks, code_points, utf8
-from .workspace import partitions
+from .workspace import partitions, per_batch
 
 # Unicode White_Space outside ASCII letters' reach, and the contractions of the pattern.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -29,6 +29,11 @@ SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 GAP, BLANK, LETTER, NUMBER, OTHER = range(5)
 
+#: Words of a part whose ids are remembered; texts of many distinct words are merged again beyond it.
+MEMO = 1_000_000
+#: Bytes of decimal ids or of text that are put together at a time for the digests, but for a longer text alone.
+STEP = 2 << 20
+
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
@@ -102,10 +107,9 @@ def encode(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text") ->
             at = pretokens(b, o)
             yield (pa.array(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(0).type), np.diff(np.searchsorted(at[:-1], o))), b, at
 
-    def answer(rows):
+    def answer(part):
         merge, memo = _encoder(path)._encode_single_piece, {}
-        out = []
-        for data, at, _ in rows:
+        for data, at, _ in part:
             sizes, flat = [], []
             for w in binary(data, at).to_pylist():
                 got = memo.get(w)
@@ -113,17 +117,18 @@ def encode(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text") ->
                     got = memo[w] = merge(w)
                 sizes.append(len(got))
                 flat += got
-            sizes = pack(np.array(sizes))
-            out.append(len(sizes).to_bytes(4, "little") + sizes + pack(np.array(flat)))
-        return out
+            if len(memo) > MEMO:
+                memo.clear()
+            sizes = pack(np.array(sizes, np.int32))
+            yield len(sizes).to_bytes(4, "little") + sizes + pack(np.array(flat, np.int32))
 
-    def put(carried, number, answers):
-        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def put(carried, number, answers, _):
+        sizes, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for b in answers:
             n = int.from_bytes(b[:4], "little")
             sizes.append(unpack(b[4 : 4 + n]))
             flat.append(unpack(b[4 + n :]))
-        at, flat, done = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(flat).astype(np.int32), 0
+        at, flat, done = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(flat).astype(np.int32, copy=False), 0
         for docs, counts in carried:
             ids, ends = gather(flat, at, number[done : done + int(counts.sum())])
             done += int(counts.sum())
@@ -164,7 +169,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
             got = [raw[a:b] if ok else None for a, b, ok in zip(edge[:-1].tolist(), edge[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*names, to])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` binary")
+    return per_batch(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` binary")
 
 
 def digests(df: DataFrame, path: str, doc: str = "doc_id") -> DataFrame:
@@ -175,9 +180,12 @@ def digests(df: DataFrame, path: str, doc: str = "doc_id") -> DataFrame:
         table = _token_bytes(path)
         decimal = pa.array([b"%d," % i for i in range(len(table))], pa.large_binary())
         for batch in batches:
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
+            _, ends = _flat(batch.column(1))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP // 6, "right")) - 1)  # six bytes an id at most
+                part = batch.slice(lo, hi - lo)
+                lo = hi
                 flat, edges = _flat(part.column(1))
                 out = []
                 for source, tail in ((decimal, 1), (table, 0)):
@@ -188,4 +196,4 @@ def digests(df: DataFrame, path: str, doc: str = "doc_id") -> DataFrame:
 
     rows = df.select(doc, "ids")
     kind = rows.schema[doc].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{doc}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return per_batch(rows, run, f"`{doc}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -6,12 +6,14 @@ an END byte, neither of which UTF-8 has). A byte's probability is method C: a co
 gives a follower of count c the share c / (n + d) and leaves d / (n + d) to the next shorter context, in which all
 followers of the longer one are excluded from counts and totals; below the empty context the rest is uniform.
 
-A byte's probability depends on its gram alone, so it is computed once for each distinct gram of the corpus: grams that
-share their three nearest context bytes meet in one partition, and the totals of shorter contexts are broadcast (at most
-2^24 rows by construction). Texts then look their grams up in a broadcast table if the corpus has at most
-`broadcast_grams` of them, and by a shuffled join otherwise; both give the same sums.
+A byte's probability depends on its gram alone, so it is computed once for each distinct gram. A block of texts sends its
+distinct grams and their training counts to parts by the three nearest context bytes, where equal grams of all blocks and
+all followers of the two longest contexts meet; totals of shorter contexts are broadcast (at most 2^24 rows by
+construction, packed). The answers return to the block and are looked up there, so the model is nowhere held as a whole
+and grows with the corpus; one path serves every size.
 
-The baseline counts training words by the global distinct-word shuffle of distinct.py.
+The baseline counts training words by the global distinct-word shuffle of distinct.py, of which the grams are a second
+channel; texts travel compressed in the body of their block.
 
 Defined cases: a null or empty text is scored as END alone; a null doc_id is a training row (it has no fold); repeated
 rows are scored and counted each; an empty table gives no rows; without training rows every byte is uniform; other
@@ -20,17 +22,20 @@ columns are ignored.
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .distinct import by_distinct_word, pack, unpack
 from .folds import folds
-from .spans import chunks, utf8, words
-from .workspace import partitions, table
+from .spans import binary, chunks, utf8, words
+from .workspace import partitions, per_batch, table
 
 ORDER = 4
 START, END = 0xFE, 0xFF
+#: The three last bytes of a gram.
+LOW = 0xFFFFFF
 
 
 def grams(buf, offsets):
@@ -47,38 +52,42 @@ def grams(buf, offsets):
     return code[text[ORDER:] != START] if n else code, np.concatenate(([0], np.cumsum(sizes + 1)))
 
 
-def gram_counts(df: DataFrame, hold, doc: str, text: str) -> DataFrame:
-    """(gram, n): every distinct gram of all rows and its count in the training rows."""
+def _summed(kept):
+    """Distinct codes and the sums of their counts of (codes, counts) pairs."""
+    u, at = np.unique(np.concatenate([a for a, _ in kept]), return_inverse=True)
+    return u, np.bincount(at, np.concatenate([b for _, b in kept]), len(u)).astype(np.int64)
 
-    def run(batches):
-        kept, size = [], 0
 
-        def merged():
-            g, n = np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])
-            u, at = np.unique(g, return_inverse=True)
-            return u, np.bincount(at, n, len(u)).astype(np.int64)
+def low_counts(df: DataFrame, hold, doc: str, text: str):
+    """(codes, counts): every three-byte gram of the training rows, in order. At most 2^24, and sent in packed rows."""
 
+    def run(batches):
+        kept, size = [], 0
         for batch in batches:
-            buf, offsets = utf8(batch.column(1))
             trains = ~hold(batch.column(0).to_pylist())
-            for lo, hi, b, o in chunks(buf, offsets, 4 << 20):
+            buf, offsets = utf8(batch.column(1))
+            for lo, hi, b, o in chunks(buf, offsets):
                 code, at = grams(b, o)
-                train = np.repeat(trains[lo:hi], np.diff(at))
-                u, n = np.unique(code[train], return_counts=True)
+                u, n = np.unique((code[np.repeat(trains[lo:hi], np.diff(at))] & np.uint64(LOW)).astype(np.uint32), return_counts=True)
                 kept.append((u, n))
-                if not train.all():
-                    u = np.unique(code[~train])
-                    kept.append((u, np.zeros(len(u), np.int64)))
-                size += sum(len(x[0]) for x in kept[-2:])
-            if size > 4_000_000:
-                kept = [merged()]
-                size = len(kept[0][0])
+                size += len(u)
+                if size > 1 << 20:
+                    kept = [_summed(kept)]
+                    size = len(kept[0][0])
         if kept:
-            u, n = merged()
+            u, n = _summed(kept)
             for lo in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000].astype(np.int64)), pa.array(n[lo : lo + 100_000])], names=["gram", "n"])
 
-    return df.select(doc, text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    def packed(batches):
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if rows:
+            u, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([pack(u)], pa.binary()), pa.array([pack(n)], pa.binary())], names=["gram", "n"])
+
+    sums = per_batch(df.select(doc, text), run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = [(unpack(bytes(r.gram)).astype(np.int64), unpack(bytes(r.n)).astype(np.int64)) for r in per_batch(sums, packed, "gram binary, n binary").toLocalIterator()]
+    return _summed(got) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _tallies(code, n):
@@ -132,29 +141,13 @@ def log_probabilities(code: np.ndarray, n: np.ndarray, low_code: np.ndarray, low
     return out
 
 
-def model(df: DataFrame, hold, doc: str, text: str) -> DataFrame:
-    """(gram, log_p) of every distinct gram of df."""
-    counts = table(gram_counts(df, hold, doc, text), "grams")
-    low = counts.where("n > 0").groupBy((F.col("gram").bitwiseAND(0xFFFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # at most 2^24 rows
-    shared = df.sparkSession.sparkContext.broadcast((low["gram"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
-
-    def run(batches):
-        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if rows:
-            code, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(log_probabilities(code, n, *shared.value))], names=["gram", "log_p"])
-
-    near = F.shiftright("gram", 8).bitwiseAND(0xFFFFFF)
-    return counts.repartition(partitions(counts), near).mapInArrow(run, "gram bigint, log_p double")
-
-
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hash_table(keys: np.ndarray, values: np.ndarray):
     """An open-addressing table of at least twice as many slots as keys."""
     bits = max(4, int(2 * len(keys)).bit_length())
-    slots, held = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits, np.float32)
+    slots, held = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits)
     keys = keys.astype(np.uint64)
     left, at = np.arange(len(keys)), (keys * SPREAD) >> np.uint64(64 - bits)
     while len(left):
@@ -175,29 +168,37 @@ def look_up(slots, held, keys):
     while len(wrong):
         at[wrong] = (at[wrong] + np.uint64(1)) & np.uint64((1 << bits) - 1)
         if (slots[at[wrong]] == np.iinfo(np.uint64).max).any():
-            raise KeyError("a gram is not in the model")
+            raise KeyError("a gram is not in the block's answers")
         wrong = wrong[slots[at[wrong]] != keys[wrong]]
     return held[at]
 
 
-def text_scores(df: DataFrame, scored: DataFrame, text: str) -> DataFrame:
-    """(key, score) of every distinct text by a shuffled join of its grams with the model."""
+def asked(code, n, parts: int):
+    """(part, packed request) rows of a block's distinct grams in order of part: codes, less the smallest, and counts."""
+    near = ((code >> np.uint64(8)) & np.uint64(LOW)).astype(np.uint64)
+    to = ((near * SPREAD) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(to, kind="stable")
+    code, n, to = code[order], n[order], to[order]
+    ends = np.searchsorted(to, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        a, b = int(ends[p]), int(ends[p + 1])
+        steps = pack(np.diff(code[a:b], prepend=np.uint64(0)))
+        yield p, len(steps).to_bytes(4, "little") + steps + pack(n[a:b])
+
+
+def request(b: bytes):
+    """The codes and counts of a packed request."""
+    size = int.from_bytes(b[:4], "little")
+    return np.cumsum(unpack(b[4 : 4 + size]).astype(np.int64)), unpack(b[4 + size :]).astype(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            buf, offsets = utf8(batch.column(0))
-            for _, _, b, o in chunks(buf, offsets):
-                code, at = grams(b, o)
-                for i in range(len(o) - 1):
-                    u, n = np.unique(code[at[i] : at[i + 1]], return_counts=True)
-                    key = xxhash.xxh3_128_digest(b[o[i] : o[i + 1]].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(u), pa.binary()), pa.array(u.astype(np.int64)), pa.array(n, pa.int64())], names=["key", "gram", "n"])
 
-    rows = df.select(text).distinct().mapInArrow(run, "key binary, gram bigint, n bigint")
-    return rows.join(scored, "gram").groupBy("key").agg(F.sum(F.col("n") * F.col("log_p")).alias("score"))
+def answered(b: bytes):
+    """The codes of a request and their log probabilities."""
+    size = int.from_bytes(b[:4], "little")
+    return np.cumsum(unpack(b[4 : 4 + size]).astype(np.int64)), np.frombuffer(b, np.float64, offset=4 + size)
 
 
-def score(df: DataFrame, fold: int = 7, held: int = 2, doc: str = "doc_id", text: str = "text", broadcast_grams: int = 8_000_000) -> DataFrame:
+def score(df: DataFrame, fold: int = 7, held: int = 2, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; trained on the rows of other folds."""
     spark = df.sparkSession
 
@@ -205,12 +206,7 @@ def score(df: DataFrame, fold: int = 7, held: int = 2, doc: str = "doc_id", text
         return folds(ids, fold) == held
 
     rows = df.select(doc, text)
-    scored = table(model(rows, hold, doc, text), "model")
-    small = scored.count() <= broadcast_grams  # 24 bytes a gram
-    if small:
-        got = scored.toPandas()
-        shared = spark.sparkContext.broadcast(hash_table(got["gram"].to_numpy(np.int64), got["log_p"].to_numpy()))
-        del got
+    low = spark.sparkContext.broadcast(low_counts(rows, hold, doc, text))
 
     def tokens(batch):
         buf, offsets = utf8(batch.column(1))
@@ -218,57 +214,68 @@ def score(df: DataFrame, fold: int = 7, held: int = 2, doc: str = "doc_id", text
         out = hold(ids)
         for lo, hi, b, o in chunks(buf, offsets):
             data, at, first = words(b, o)
-            keys, sums = None, np.zeros(hi - lo)
-            if small:
-                code, edge = grams(b, o)
-                sums = np.add.reduceat(look_up(*shared.value, code).astype(np.float64), edge[:-1])
-            else:
-                keys = [xxhash.xxh3_128_digest(b[s:e].tobytes()) for s, e in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
             sizes = np.insert(np.diff(at), first[1:], 0)  # each text's words, then the empty word for its end
-            yield (ids[lo:hi], out[lo:hi], np.diff(first) + 1, sums, keys), data, np.concatenate(([0], np.cumsum(sizes)))
+            yield (ids[lo:hi], out[lo:hi], np.diff(first) + 1, b, o), data, np.concatenate(([0], np.cumsum(sizes)))
+
+    def keyed(carried, parts):
+        kept, size, sealed = [], 0, []
+        for ids, out, sizes, b, o in carried:
+            code, at = grams(b, o)
+            train = np.repeat(~out, np.diff(at))
+            u, where = np.unique(code, return_inverse=True)
+            kept.append((u, np.bincount(where, train, len(u))))
+            size += len(u)
+            if size > 1 << 20:
+                kept = [_summed(kept)]
+                size = len(kept[0][0])
+            sealed.append((ids, out, sizes, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(b)), o))
+        return sealed, asked(*_summed(kept), parts)
+
+    def answer_keys(requests):
+        own = [request(b) for b in requests]
+        code, n = _summed(own)
+        logs = log_probabilities(code, n, *low.value)
+        for b, (u, _) in zip(requests, own, strict=True):
+            yield b[: 4 + int.from_bytes(b[:4], "little")] + logs[np.searchsorted(code, u)].tobytes()
 
     def extra(carried, number, n):
         train = np.concatenate([np.repeat(~c[1], c[2]) for c in carried])
         return np.bincount(number[train], minlength=n)
 
-    def answer(parts):
-        counts, seen = {}, []
-        for data, at, sent in parts:
-            raw = data.tobytes()
-            seen.append([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-            for w, n in zip(seen[-1], sent.tolist(), strict=True):
+    def answer(part):
+        counts = {}
+        for data, at, sent in part:
+            for w, n in zip(binary(data, at).to_pylist(), sent.tolist(), strict=True):
                 counts[w] = counts.get(w, 0) + n
-        out = []
-        for ws in seen:  # the first block that has a training word counts it for the vocabulary
-            out.append(pack(np.array([counts[w] if counts[w] >= 0 else -counts[w] for w in ws])))
-            own = 0
+        for data, at, _ in part:  # the first block that has a training word counts it for the vocabulary
+            ws, own = binary(data, at).to_pylist(), 0
+            out = pack(np.array([abs(counts[w]) for w in ws], np.int64))
             for w in ws:
                 if counts[w] > 0:
                     counts[w] = -counts[w]
                     own += 1
-            out[-1] = own.to_bytes(4, "little") + out[-1]
-        return out
+            yield own.to_bytes(4, "little") + out
 
-    def put(carried, number, answers):
+    def put(carried, number, answers, keys):
         c = np.concatenate([np.zeros(0, np.int64), *(unpack(b[4:]) for b in answers)])[number]
         own, done = sum(int.from_bytes(b[:4], "little") for b in answers), 0
-        for ids, out, sizes, sums, keys in carried:
-            edge = done + np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        table_ = hash_table(*(np.concatenate(x) for x in zip(*map(answered, keys), strict=True)))
+        for ids, out, sizes, z, o in carried:
+            g, edge = grams(np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8), o)
+            sums = np.add.reduceat(look_up(*table_, g), edge[:-1])
+            at = done + np.concatenate(([0], np.cumsum(sizes)))[:-1]
             mine = c[done : done + int(sizes.sum())]
-            known, logs = np.add.reduceat((mine > 0).astype(np.int64), edge - done), np.add.reduceat(np.log10(mine + 1.0), edge - done)
+            known, logs = np.add.reduceat((mine > 0).astype(np.int64), at - done), np.add.reduceat(np.log10(mine + 1.0), at - done)
             first = np.zeros(len(ids), np.int64)
             first[0], own = own, 0
             done += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(out), pa.array(sizes, pa.int64()), pa.array(known), pa.array(logs), pa.array(first), pa.array(sums), pa.array(keys if keys else [None] * len(ids), pa.binary())], names=[doc, "held_out", "n_tokens", "n_known", "logs", "vocabulary", "score", "key"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(out), pa.array(sizes, pa.int64()), pa.array(known), pa.array(logs), pa.array(first), pa.array(sums)], names=[doc, "held_out", "n_tokens", "n_known", "logs", "vocabulary", "score"])
 
     kind = to_arrow_type(rows.schema[doc].dataType)
-    schema = f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, logs double, vocabulary bigint, score double, key binary"
-    done = table(by_distinct_word(rows, tokens, answer, put, schema, partitions(rows), extra), "scores")
+    schema = f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, logs double, vocabulary bigint, score double"
+    done = table(by_distinct_word(rows, tokens, answer, put, schema, partitions(rows), extra, keyed, answer_keys), "scores")
+    low.destroy()
     whole = done.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n"), F.sum("vocabulary").alias("v")).first()
     n, v = whole.n or 0, whole.v or 0
-    if not small:
-        done = done.drop("score").join(text_scores(rows.select(F.coalesce(text, F.lit("")).alias(text)), scored, text), "key", "left")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return done.select(doc, "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
