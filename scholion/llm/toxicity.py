@@ -1,17 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Examples are a bounded sample of the labelled training rows, `examples` of each label (a bound of the model). Terms are
-those words whose presence goes with the label in the sample (chi-square of at least `chi2` and a share of one label of at
-least `purity`); vectors are (1 + ln tf) idf over them, of length 1. The index holds postings by (term, block of
-examples) and the largest weight of each term in each block: a query takes blocks in the order of their upper bounds and
-stops when no block left can reach the k-th best, so the k neighbours are exact. Votes are weighted by 1 / (distance +
-0.05); the votes of the examples among each other, weighted back to the label shares of all labelled rows, are fitted
-by a monotone step function, which makes the vote a probability.
-
-Defined cases: null and empty texts, and texts without any term, have no neighbour and the examples' rate among such
-texts as score; equally near examples rank by doc_id; label rows with null doc_id or label teach nothing; without
-both labels every score is 0; a null doc_id is not held out; repeated rows are scored each; an empty table gives no
-rows; other columns are ignored.
+Examples are a bounded sample of the labelled training rows, `examples` of each label, none longer than `longest` characters
+(bounds of the model). Terms are the stems of the examples' words, all of them: a word cut to its first STEM letters, which
+gathers the forms of an inflected word. Vectors are (1 + ln tf) idf, of length 1, with the document frequency counted over
+all documents: idf = ln(1 + N / (df + SMOOTH N)), so that stems seen in few texts do not outweigh all others. Words of no
+example's stem are no terms.
+
+The index holds postings by term and block of examples, and the largest weight of each term in each block. A query bounds
+its cosine with every block by these maxima, evaluates the blocks of the largest bounds, and then those whose bound reaches
+the k-th best found: the k neighbours are exact. Votes are weighted by 1 / (distance + 0.05); the votes of the examples
+among each other, weighted back to the label shares of all labelled rows, are fitted by a monotone step function, which
+makes the vote a probability.
+
+Defined cases: null and empty texts, and texts without any term, have no neighbour and the examples' share of toxic rows as
+score; equally near examples rank by doc_id; label rows with null doc_id or label teach nothing, nor do documents without
+an id; of documents that repeat an id the least text teaches; without both labels every score is 0; a null doc_id is not
+held out; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
 import numpy as np
@@ -22,80 +26,106 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .folds import fold as fold_of
 from .folds import folds, sample
-from .spans import MARKS, binary, chunks, utf8, words
+from .spans import MARKS, chunks, hashes, utf8, words
+from .workspace import per_batch
 
+STEM = 4
+SMOOTH = 0.01
+#: Examples in a block, and blocks that a query evaluates first.
+BLOCK, FIRST = 32, 8
+#: Rows that the document frequencies are summed in.
+SLICES = 16
 
-def term_counts(buf, offsets):
-    """For each row its distinct words and their counts: (row, word number, count) arrays and the words."""
+
+def stems(buf, offsets):
+    """(row, hash of the stem) of every word."""
     data, at, first = words(buf, offsets, gaps=MARKS)
-    coded = binary(data, at).dictionary_encode()
-    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    pair, n = np.unique(row * max(1, len(coded.dictionary)) + number, return_counts=True)
-    return pair // max(1, len(coded.dictionary)), pair % max(1, len(coded.dictionary)), n, coded.dictionary
+    lead = (data & 0xC0) != 0x80
+    place = np.cumsum(lead)
+    size = np.diff(at)
+    kept = place - np.repeat(place[at[:-1]] if len(size) else place[:0], size) < STEM
+    edge = np.concatenate(([0], np.cumsum(kept)))[at]
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(first)), hashes(data[kept], edge)
 
 
-def chosen_terms(rows: DataFrame, chi2: float, purity: float, most: int) -> list[tuple[bytes, int]]:
-    """(word, examples that hold it) of the terms. rows: text, label. The words are counted where the texts are."""
+def of_terms(buf, offsets, known):
+    """For each row (term numbers in order, counts); known: the terms' hashes in order."""
+    row, h = stems(buf, offsets)
+    if not len(known):
+        row, h = row[:0], h[:0]
+    t = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    there = known[t] == h
+    pair, n = np.unique(row[there] * max(1, len(known)) + t[there], return_counts=True)
+    row, t = pair // max(1, len(known)), pair % max(1, len(known))
+    edge = np.searchsorted(row, np.arange(len(offsets)))
+    return [(t[a:b], n[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
-    def run(batches):
-        for batch in batches:
-            label = np.array(batch.column(1).to_pylist(), np.int64)
-            buf, offsets = utf8(batch.column(0))
-            for lo, hi, b, o in chunks(buf, offsets):
-                row, word, _, names = term_counts(b, o)
-                yes = np.bincount(word, label[lo:hi][row], len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([names.cast(pa.binary()), pa.array(yes), pa.array(np.bincount(word, minlength=len(names)) - yes)], names=["word", "yes", "no"])
-
-    size = rows.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in size}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return []
-    sums = rows.select("text", "label").mapInArrow(run, "word binary, yes bigint, no bigint").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    a, c = F.col("yes").cast("double"), F.col("no").cast("double")
-    found = F.lit(float(n1 + n0)) * F.pow(a * (n0 - c) - c * (n1 - a), 2) / ((a + c) * F.greatest(F.lit(1.0), n1 + n0 - a - c) * F.lit(float(n1) * n0))
-    share = (a / n1) / (a / n1 + c / n0)
-    top = sums.withColumn("chi2", found).where((F.col("chi2") >= chi2) & (F.abs(share - 0.5) >= purity - 0.5)).orderBy(F.desc("chi2"), "word").limit(most)
-    return [(bytes(r.word), r.yes + r.no) for r in top.collect()]
+
+def clustered(vectors, terms: int, pivots: int = 48) -> np.ndarray:
+    """An order of the vectors in which alike ones are neighbours, which makes the blocks' maxima tight: by the pivot they
+    are nearest to, then by their number of terms."""
+    n = len(vectors)
+    dense = np.zeros((terms, min(pivots, n)))
+    for j, i in enumerate(np.linspace(0, n - 1, min(pivots, n)).astype(int).tolist()):
+        dense[vectors[i][0], j] = vectors[i][1]
+    nearest = [int(np.argmax(w @ dense[t])) if len(t) else 0 for t, w in vectors]
+    return np.lexsort(([len(t) for t, _ in vectors], nearest)) if n else np.zeros(0, np.int64)
 
 
 class Index:
-    """Postings of unit vectors in blocks, with the largest weight of every term in every block."""
+    """Postings of unit vectors by term and block, and the largest weight of every term in every block."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        blocks = -(-self.n // block) if self.n else 0
-        self.most = np.zeros((terms, blocks))
-        self.postings = {}
-        for i, (t, w) in enumerate(vectors):
-            np.maximum.at(self.most[:, i // block], t, w)
-            for a, x in zip(t.tolist(), w.tolist(), strict=True):
-                self.postings.setdefault((a, i // block), ([], []))
-                ids, weights = self.postings[a, i // block]
-                ids.append(i % block)
-                weights.append(x)
-        self.postings = {k: (np.array(a), np.array(b)) for k, (a, b) in self.postings.items()}
+        self.blocks = max(1, -(-self.n // block))
+        self.order = clustered(vectors, terms)  # the vector that stands at each place
+        self.place = np.empty(self.n, np.int64)
+        self.place[self.order] = np.arange(self.n)
+        size = [len(vectors[i][0]) for i in self.order.tolist()]
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in self.order.tolist())])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in self.order.tolist())])
+        at = np.repeat(np.arange(self.n), size)
+        by = np.argsort(term, kind="stable")
+        self.at, self.weight = at[by].astype(np.int32), weight[by]
+        cell = term[by] * self.blocks + self.at // block
+        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(terms * self.blocks, np.float32)
+        if len(cell):
+            head = np.flatnonzero(np.diff(cell, prepend=-1))
+            self.most[cell[head]] = np.nextafter(np.maximum.reduceat(self.weight, head).astype(np.float32), np.float32(2))
+        self.most = self.most.reshape(terms, self.blocks)
+
+    def _sums(self, t, w, blocks) -> np.ndarray:
+        """The products with the vectors at the places of some blocks."""
+        cells = (t[:, None] * self.blocks + blocks[None, :]).ravel()
+        a = self.start[cells]
+        size = self.start[cells + 1] - a
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(a - (ends - size), size)
+        return np.bincount(self.at[at], self.weight[at] * np.repeat(np.repeat(w, len(blocks)), size), self.n)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1):
-        """(examples, cosines) of the k nearest with a cosine above 0, nearest first; the smaller number first if equal."""
-        bound = w @ self.most[t]
+        """(vectors, cosines) of the k nearest with a cosine above 0, nearest first; the smaller number first if equal."""
+        if not len(t) or not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = w @ self.most[t] + 1e-6
         order = np.argsort(-bound, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(ids) == k and bound[b] < scores[-1] - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for a, x in zip(t.tolist(), w.tolist(), strict=True):
-                if (found := self.postings.get((a, b))) is not None:
-                    sums[found[0]] += x * found[1]
-            if without // self.block == b:
-                sums[without % self.block] = 0
-            hit = np.flatnonzero(sums > 0)
-            ids, scores = np.append(ids, hit + b * self.block), np.append(scores, np.round(sums[hit], 12))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
+        m = max(FIRST, -(-2 * k // self.block))
+        sums = self._sums(t, w, order[:m])
+        if without >= 0:
+            sums[self.place[without]] = 0
+        if m < self.blocks:
+            kth = np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0
+            rest = order[m:][bound[order[m:]] >= kth]
+            if len(rest):
+                sums += self._sums(t, w, rest)
+                if without >= 0:
+                    sums[self.place[without]] = 0
+        sums = np.round(sums, 12)
+        some = np.flatnonzero(sums >= max(1e-12, np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0))
+        ids = self.order[some]
+        best = np.lexsort((ids, -sums[some]))[:k]
+        return ids[best], sums[some][best]
 
 
 def monotone(x, y, w):
@@ -112,95 +142,116 @@ def monotone(x, y, w):
 
 
 class Model:
-    def __init__(self, terms, docs, labels, weights, vectors, k: int):
-        self.number = {w: i for i, (w, _) in enumerate(terms)}
-        self.words, self.k = [w.decode("utf-8", "replace") for w, _ in terms], k
-        n = len(labels)
-        self.idf = np.log(1 + n / np.array([df for _, df in terms], float)) if terms else np.zeros(0)
+    """Examples in order of doc_id, their index and the fitted votes. vectors: (term numbers in order, counts)."""
+
+    def __init__(self, known, idf, docs, labels, weights, vectors, k: int):
+        self.known, self.idf, self.k, self.docs = known, idf, k, docs
+        self.labels = np.array(labels, float)
         unit = [self.unit(t, c) for t, c in vectors]
-        full = [i for i in range(n) if len(unit[i][0])]
-        full.sort(key=lambda i: (int(unit[i][0][np.argmax(unit[i][1])]), docs[i]))  # alike examples share blocks, which makes bounds tight
-        self.docs, self.labels = np.array([docs[i] for i in full], object), np.array([labels[i] for i in full], float)
-        self.index = Index([unit[i] for i in full], len(terms))
-        bare = np.ones(n, bool)
-        bare[full] = False
+        self.index = Index(unit, len(known))
         w = np.array(weights, float)
-        y = np.array(labels, float)
-        self.rest = float((w * y)[bare].sum() / w[bare].sum()) if bare.any() else float((w * y).sum() / w.sum()) if n else 0.0
-        votes = np.array([self.vote(*unit[i], without=j)[0] for j, i in enumerate(full)])
-        usable = np.flatnonzero(~np.isnan(votes)) if len(votes) else np.zeros(0, int)
-        at = np.array(full, int)[usable]
-        self.left, self.value = monotone(votes[usable], y[at], w[at]) if len(usable) else (np.zeros(1), np.zeros(1))
+        self.rest = float((w * self.labels).sum() / w.sum()) if len(w) else 0.0
+        votes = np.array([self.vote(*self.index.nearest(*u, k, without=i)) for i, u in enumerate(unit)])
+        some = np.flatnonzero(~np.isnan(votes)) if len(votes) else np.zeros(0, int)
+        self.left, self.value = monotone(votes[some], self.labels[some], w[some]) if len(some) else (np.zeros(1), np.full(1, self.rest))
 
     def unit(self, t, counts):
         """Term numbers in order and their weights, of length 1."""
-        if not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, counts = np.asarray(t, np.int64), np.asarray(counts, float)
-        order = np.argsort(t)
-        w = ((1 + np.log(counts)) * self.idf[t])[order]
-        return t[order], w / np.sqrt((w * w).sum())
-
-    def vote(self, t, w, without=-1):
-        if not len(t):
-            return float("nan"), np.zeros(0, np.int64)
-        ids, near = self.index.nearest(t, w, self.k, without)
-        if not len(ids):
-            return float("nan"), ids
-        weight = 1 / (1 - np.minimum(near, 1.0) + 0.05)
-        return float((weight * self.labels[ids]).sum() / weight.sum()), ids
+        t = np.asarray(t, np.int64)
+        w = (1 + np.log(np.asarray(counts, float))) * self.idf[t]
+        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+
+    def vote(self, ids, near) -> float:
+        weight = 1 / (1.05 - np.minimum(near, 1.0))
+        return float((weight * self.labels[ids]).sum() / weight.sum()) if len(ids) else float("nan")
 
     def score(self, t, counts):
-        """(probability, doc_ids of the nearest examples, nearest first)."""
-        v, ids = self.vote(*self.unit(t, counts))
-        if v != v:
-            return self.rest, []
-        return float(self.value[max(0, np.searchsorted(self.left, v, "right") - 1)]), self.docs[ids].tolist()
-
-
-def of_terms(buf, offsets, number):
-    """For each row (term numbers, counts)."""
-    row, word, n, names = term_counts(buf, offsets)
-    known = np.array([number.get(w, -1) for w in names.to_pylist()], np.int64)
-    t = known[word] if len(known) else word
-    row, t, n = row[t >= 0], t[t >= 0], n[t >= 0]
-    edge = np.searchsorted(row, np.arange(len(offsets)))
-    return [(t[a:b], n[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        """(probability, examples nearest first, their cosines)."""
+        ids, near = self.index.nearest(*self.unit(t, counts), self.k)
+        v = self.vote(ids, near)
+        return self.rest if v != v else float(self.value[max(0, np.searchsorted(self.left, v, "right") - 1)]), ids, near
+
+
+def frequencies(texts: DataFrame, known: np.ndarray):
+    """(rows, for each term the rows that hold it) of a table of one text column; at most SLICES rows reach the driver."""
+    cuts = np.linspace(0, len(known) + 1, SLICES + 1).astype(int)
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def out(sums):
+        for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sums[a:b].tobytes()], pa.binary())], names=["slice", "n"])
+
+    def counted(batches):
+        sums = np.zeros(len(shared.value) + 1, np.int64)  # the last: rows
+        for batch in batches:
+            buf, offsets = utf8(batch.column(0))
+            sums[-1] += batch.num_rows
+            for _, _, b, o in chunks(buf, offsets):
+                for t, _ in of_terms(b, o, shared.value):
+                    sums[t] += 1
+        yield from out(sums)
+
+    def added(batches):
+        sums = {}
+        for batch in batches:
+            for s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[s] = sums.get(s, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "n"])
+
+    schema = "slice int, n binary"
+    got = {r.slice: np.frombuffer(r.n, np.int64) for r in per_batch(per_batch(texts, counted, schema).repartition(SLICES, "slice"), added, schema).collect()}
+    shared.destroy()
+    whole = np.concatenate([got[s] for s in sorted(got)]) if got else np.zeros(len(known) + 1, np.int64)
+    return int(whole[-1]), whole[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int, held: int, examples: int, k: int, chi2: float, purity: float, most: int, doc: str, text: str, label: str) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold: int, held: int, examples: int, longest: int, k: int, doc: str, text: str, label: str) -> Model:
     taught = labels.where(fold_of(doc, fold) != held).select(doc, F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     drawn = F.broadcast(sample(taught, "label", examples, doc))
-    rows = docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(drawn, doc).select("text", "label", "weight", doc)
-    terms = chosen_terms(rows, chi2, purity, most)
-    number = {w: i for i, (w, _) in enumerate(terms)}
+    short = docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).where(F.length("text") <= longest)
+    rows = short.join(drawn, doc).groupBy(doc, "label", "weight").agg(F.min("text").alias("text")).select("text", "label", "weight", doc)
 
     def run(batches):
         for batch in batches:
             buf, offsets = utf8(batch.column(0))
-            out = [x for _, _, b, o in chunks(buf, offsets) for x in of_terms(b, o, number)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([t.tolist() for t, _ in out], pa.list_(pa.int64())), pa.array([n.tolist() for _, n in out], pa.list_(pa.int64()))], names=["label", "weight", doc, "t", "n"])
+            out = []
+            for _, _, b, o in chunks(buf, offsets):
+                row, h = stems(b, o)
+                for i in range(len(o) - 1):
+                    u, n = np.unique(h[row == i], return_counts=True)
+                    out.append((u.tobytes(), n.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([x[j] for x in out], pa.binary()) for j in (0, 1))], names=["label", "weight", doc, "h", "n"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    got = rows.mapInArrow(run, f"label int, weight double, `{doc}` {kind}, t array<bigint>, n array<bigint>").collect()  # at most 2 x examples rows of a few terms
-    got.sort(key=lambda r: (r[doc], r.label, r.t, r.n))
-    return Model(terms, [r[doc] for r in got], [r.label for r in got], [r.weight for r in got], [(r.t, r.n) for r in got], k)
+    got = per_batch(rows, run, f"label int, weight double, `{doc}` {kind}, h binary, n binary").collect()  # at most 2 x examples rows of texts of up to `longest`
+    got.sort(key=lambda r: (r[doc], r.label))
+    found = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int32)) for r in got]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)]))
+    if len({r.label for r in got}) < 2:
+        return Model(known[:0], np.zeros(0), [], [], [], [], k)
+    n, df = frequencies(docs.select(text), known)
+    idf = np.log(1 + n / (df + SMOOTH * n))
+    return Model(known, idf, [r[doc] for r in got], [r.label for r in got], [r.weight for r in got], [(np.searchsorted(known, h), c) for h, c in found], k)
 
 
-def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, examples: int = 4000, k: int = 15, threshold: float = 0.7, chi2: float = 30.0, purity: float = 0.8, most: int = 2048, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(doc, held_out, score, predicted, neighbours, terms): the nearest examples' ids and the text's terms are the evidence."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold, held, examples, k, chi2, purity, most, doc, text, label))
+def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, examples: int = 2500, longest: int = 1 << 18, k: int = 30, threshold: float = 0.7, evidence: int = 5, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(doc, held_out, score, predicted, neighbours): neighbours are the `evidence` nearest examples (id, label, cosine)."""
     rows = docs.select(doc, text)
     kind = rows.schema[doc].dataType
+    if rows.isEmpty():
+        return rows.select(doc, F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr(f"cast(array() as array<struct<{doc}: {kind.simpleString()}, label: int, cosine: double>>)").alias("neighbours")).limit(0)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold, held, examples, longest, k, doc, text, label))
 
     def run(batches):
         m = model.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             buf, offsets = utf8(batch.column(1))
-            out = [(*m.score(t, n), [m.words[i] for i in t.tolist()]) for _, _, b, o in chunks(buf, offsets) for t, n in of_terms(b, o, m.number)]
+            out = [m.score(t, n) for _, _, b, o in chunks(buf, offsets) for t, n in of_terms(b, o, m.known)]
+            near = [[{doc: m.docs[i], "label": int(m.labels[i]), "cosine": c} for i, c in zip(x[1][:evidence].tolist(), x[2][:evidence].tolist(), strict=True)] for x in out]
             scores = [x[0] for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array(folds(ids, fold) == held), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([x[1] for x in out], pa.list_(to_arrow_type(kind))), pa.array([x[2] for x in out], pa.list_(pa.string()))], names=[doc, "held_out", "score", "predicted", "neighbours", "terms"])
+            one = pa.struct([(doc, to_arrow_type(kind)), ("label", pa.int32()), ("cosine", pa.float64())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array(folds(ids, fold) == held), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(one))], names=[doc, "held_out", "score", "predicted", "neighbours"])
 
     name = kind.simpleString()
-    return rows.mapInArrow(run, f"`{doc}` {name}, held_out boolean, score double, predicted int, neighbours array<{name}>, terms array<string>")
+    return per_batch(rows, run, f"`{doc}` {name}, held_out boolean, score double, predicted int, neighbours array<struct<`{doc}`: {name}, label: int, cosine: double>>")

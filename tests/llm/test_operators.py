@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from scholion.llm import bpe, decontam, langid, neardup, ppm, quality, spans, topk, toxicity, urlfilter, warc
+from scholion.llm import bpe, decontam, distinct, langid, neardup, ppm, quality, spans, topk, toxicity, urlfilter, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -91,12 +91,69 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     d, labels = _labelled(spark)
-    got = toxicity.score(d, labels, chi2=20.0).collect()
+    got = toxicity.score(d, labels).collect()
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert len(got) == 403 and np.mean([r.predicted == int(r.doc_id % 4 == 1) for r in held]) > 0.97
-    assert all(0 <= r.score <= 1 for r in got) and any(r.neighbours for r in held)
+    assert all(0 <= r.score <= 1 for r in got) and all(r.neighbours for r in held)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert {r.score for r in toxicity.score(d, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.score(d.limit(0), labels).count() == 0
+
+
+def _stems(x):
+    return Counter(w[:4] for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (x or "").translate(LOWER)))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Neighbours, cosines and scores of the whole query, by comparing every text with every example."""
+    rnd = random.Random(3)
+    common = [f"w{i}rd{i % 7}" for i in range(60)] + ["überaus", "漢字漢字漢字", "idiot", "idiotic"]
+    rows = [(i, " ".join(rnd.choice(common) for _ in range(rnd.randint(0, 25)))) for i in range(150)]
+    rows += [(150, rows[9][1]), (151, rows[9][1].upper()), (151, "zz idiot"), (152, None), (153, ""), (154, "unheard"), (None, "idiot"), (3, "aaaa second text of the id"), (155, "w1rd1 " * 300_000)]
+    labels = [(i, int("idiot" in (x or ""))) for i, x in rows[:153]] + [(None, 1), (7, None), (155, 1)]
+    d = docs(spark, rows)
+    lab = spark.createDataFrame([(*x, "x") for x in labels], "doc_id bigint, toxic int, text string")
+    k = 4
+    got = toxicity.score(d, lab, k=k, evidence=k).collect()
+    hold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    taught = {(i, y) for i, y in labels if i is not None and y is not None and not hold(i)}
+    texts = defaultdict(list)
+    for i, x in rows:
+        if len(x or "") <= 1 << 18:
+            texts[i].append(x or "")
+    examples = sorted((i, y, min(texts[i])) for i, y in taught if texts[i])
+    known = {t for _, _, x in examples for t in _stems(x)}
+    df = Counter(t for _, x in rows for t in _stems(x) if t in known)
+    n = len(rows)
+
+    def unit(x):
+        v = {t: (1 + math.log(c)) * math.log(1 + n / (df[t] + 0.01 * n)) for t, c in _stems(x).items() if t in known}
+        norm = math.sqrt(sum(a * a for a in v.values()))
+        return {t: a / norm for t, a in v.items()}
+
+    units = [unit(x) for _, _, x in examples]
+    share = lambda v, without=-1: sorted(((-round(c, 12), j) for j, u in enumerate(units) if j != without and (c := sum(a * u.get(t, 0) for t, a in v.items())) > 1e-12))[:k]
+
+    def vote(near):
+        w = [1 / (1.05 - min(-c, 1.0)) for c, _ in near]
+        return sum(a * examples[j][1] for a, (_, j) in zip(w, near)) / sum(w)
+
+    size = Counter(y for _, y in taught)
+    weight = [1.0 for _ in examples]
+    loo = [share(u, i) for i, u in enumerate(units)]
+    votes = [(vote(x), examples[i][1], weight[i]) for i, x in enumerate(loo) if x]
+    left, value = toxicity.monotone(*(np.array(x, float) for x in zip(*votes)))
+    rest = sum(y for _, y, _ in examples) / len(examples)
+    assert size
+    want = []
+    for i, x in rows:
+        near = share(unit(x))
+        want.append((str(i), round(rest if not near else float(value[max(0, np.searchsorted(left, vote(near) + 1e-12, "right") - 1)]), 9), [(examples[j][0], examples[j][1], round(-c, 9)) for c, j in near]))
+    found = [(str(r.doc_id), round(r.score, 9), [(e.doc_id, e.label, round(e.cosine, 9)) for e in r.neighbours]) for r in got]
+    assert [x[2] for x in sorted(found, key=repr)] == [x[2] for x in sorted(want, key=repr)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert len({x[1] for x in found}) > 3
+    assert not any(e.doc_id == 155 for r in got for e in r.neighbours)  # longer than an example may be
 
 
 def test_index_finds_exact_neighbours():
@@ -106,7 +163,8 @@ def test_index_finds_exact_neighbours():
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         w = rng.random(len(t)) + 0.1
         rows.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity.Index(rows, 40, 16)
+    rows[300:310] = [rows[7]] * 10  # ties
+    index = toxicity.Index(rows, 40, 8)
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
@@ -259,7 +317,7 @@ def test_decontamination_of_short_items():
 # ---- language model
 
 
-def test_ppm_against_brute_force(spark):
+def test_ppm_against_brute_force(spark, monkeypatch):
     rnd = random.Random(7)
     rows = [(i, " ".join(rnd.choice(["the", "cat", "sat", "Über", "ünd"]) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(100, None), (None, "The cat"), (101, ""), (5, "cat cat")]
     d = docs(spark, rows)
@@ -287,8 +345,9 @@ def test_ppm_against_brute_force(spark):
 
     n, v = sum(counts.values()), len(counts)
     want = sorted((str(i), len(words(x)) + 1, sum(counts[w] > 0 for w in [*words(x), ""]), hold(i), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*words(x), ""]), 6), round(sum(log_p(bytes([254] * 4) + (x or "").encode() + b"\xff", p) for p in range(4, 5 + len((x or "").encode()))), 3)) for i, x in rows)
-    for most in (8_000_000, 0):
-        got = ppm.score(d, broadcast_grams=most).collect()
+    for block in (distinct.BLOCK, 100):
+        monkeypatch.setattr(distinct, "BLOCK", block)
+        got = ppm.score(d).collect()
         assert {r.train_tokens for r in got} == {n}
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.held_out, round(r.base_score, 6), round(r.score, 3)) for r in got) == want
     assert ppm.score(d.limit(0)).count() == 0
