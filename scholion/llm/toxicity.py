@@ -3,14 +3,14 @@
 Examples are a bounded sample of the labelled training rows, `examples` of each label, none longer than `longest` characters
 (bounds of the model). Terms are the stems of the examples' words, all of them: a word cut to its first STEM letters, which
 gathers the forms of an inflected word. Vectors are (1 + ln tf) idf, of length 1, with the document frequency counted over
-all documents: idf = ln(1 + N / (df + SMOOTH N)), so that stems seen in few texts do not outweigh all others. Words of no
-example's stem are no terms.
+all documents: idf = ln(1 + N / (df + SMOOTH N)) ^ POWER, so that stems seen in few texts do not outweigh all others, nor
+the many common ones the rest. Words of no example's stem are no terms.
 
 The index holds postings by term and block of examples, and the largest weight of each term in each block. A query bounds
 its cosine with every block by these maxima, evaluates the blocks of the largest bounds, and then those whose bound reaches
 the k-th best found: the k neighbours are exact. Votes are weighted by 1 / (distance + 0.05); the votes of the examples
-among each other, weighted back to the label shares of all labelled rows, are fitted by a monotone step function, which
-makes the vote a probability.
+among each other, weighted back to the label shares of all labelled rows, are fitted by a monotone function, which makes
+the vote a probability.
 
 Defined cases: null and empty texts, and texts without any term, have no neighbour and the examples' share of toxic rows as
 score; equally near examples rank by doc_id; label rows with null doc_id or label teach nothing, nor do documents without
@@ -30,7 +30,7 @@ from .spans import MARKS, chunks, hashes, utf8, words
 from .workspace import per_batch
 
 STEM = 4
-SMOOTH = 0.01
+SMOOTH, POWER = 0.01, 2
 #: Examples in a block, and blocks that a query evaluates first.
 BLOCK, FIRST = 32, 8
 #: Rows that the document frequencies are summed in.
@@ -129,16 +129,16 @@ class Index:
 
 
 def monotone(x, y, w):
-    """The weighted non-decreasing step function nearest to y over x, as (left ends, values)."""
+    """The steps of the weighted non-decreasing step function nearest to y over x, as (mean x, value): between them the
+    fitted function is a line, beyond them level."""
     order = np.argsort(x, kind="stable")
     steps = []
     for a, b, c in zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
-        steps.append([a, b * c, c])
-        while len(steps) > 1 and (steps[-2][0] == steps[-1][0] or steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]):
-            _, s, n = steps.pop()
-            steps[-1][1] += s
-            steps[-1][2] += n
-    return np.array([s[0] for s in steps]), np.array([s[1] / s[2] for s in steps])
+        steps.append([a * c, b * c, c, a])
+        while len(steps) > 1 and (steps[-2][3] == a or steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]):
+            last = steps.pop()
+            steps[-1] = [p + q for p, q in zip(steps[-1][:3], last[:3], strict=True)] + [a]
+    return np.array([s[0] / s[2] for s in steps]), np.array([s[1] / s[2] for s in steps])
 
 
 class Model:
@@ -153,7 +153,7 @@ class Model:
         self.rest = float((w * self.labels).sum() / w.sum()) if len(w) else 0.0
         votes = np.array([self.vote(*self.index.nearest(*u, k, without=i)) for i, u in enumerate(unit)])
         some = np.flatnonzero(~np.isnan(votes)) if len(votes) else np.zeros(0, int)
-        self.left, self.value = monotone(votes[some], self.labels[some], w[some]) if len(some) else (np.zeros(1), np.full(1, self.rest))
+        self.votes, self.value = monotone(votes[some], self.labels[some], w[some]) if len(some) else (np.zeros(1), np.full(1, self.rest))
 
     def unit(self, t, counts):
         """Term numbers in order and their weights, of length 1."""
@@ -169,7 +169,7 @@ class Model:
         """(probability, examples nearest first, their cosines)."""
         ids, near = self.index.nearest(*self.unit(t, counts), self.k)
         v = self.vote(ids, near)
-        return self.rest if v != v else float(self.value[max(0, np.searchsorted(self.left, v, "right") - 1)]), ids, near
+        return self.rest if v != v else float(np.interp(v, self.votes, self.value)), ids, near
 
 
 def frequencies(texts: DataFrame, known: np.ndarray):
@@ -230,11 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int, held: int, examples: int,
     if len({r.label for r in got}) < 2:
         return Model(known[:0], np.zeros(0), [], [], [], [], k)
     n, df = frequencies(docs.select(text), known)
-    idf = np.log(1 + n / (df + SMOOTH * n))
+    idf = np.log(1 + n / (df + SMOOTH * n)) ** POWER
     return Model(known, idf, [r[doc] for r in got], [r.label for r in got], [r.weight for r in got], [(np.searchsorted(known, h), c) for h, c in found], k)
 
 
-def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, examples: int = 2500, longest: int = 1 << 18, k: int = 30, threshold: float = 0.7, evidence: int = 5, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, examples: int = 2500, longest: int = 1 << 18, k: int = 100, threshold: float = 0.7, evidence: int = 5, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc, held_out, score, predicted, neighbours): neighbours are the `evidence` nearest examples (id, label, cosine)."""
     rows = docs.select(doc, text)
     kind = rows.schema[doc].dataType
