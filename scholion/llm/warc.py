@@ -4,12 +4,15 @@ write_archives() lays page rows out as archives of bounded size through Spark's
 can write serves; read_archives() reads them (or others of the same form) through Spark's binary-file source. The
 reader loads the dictionary, decodes one frame at a time, and checks version line, mandatory headers, Content-Length
 against the block, the record's end, the frame holding just one record, the inner HTTP length and the payload digest;
-what is wrong with a record stands in its `error`, no record is dropped. An archive is one row of work in one task:
-keep third-party archives under Spark's 2 GB limit for a binary value.
+what is wrong with a record stands in its `error`. Where a frame cannot be read, one row says so, and reading goes on at
+the next place at which a frame decodes to a WARC version line, so damage costs no sound record behind it. An archive is
+one row of work in one task: keep third-party archives under Spark's 2 GB limit for a binary value.
 
 Defined cases: a null payload is empty; of equal payloads of at least min_bytes the row with the largest page_id is the
 response and the others revisit it; rows that repeat that page_id are all responses; a group without any page_id has
 responses only; a null page_id or url has a record of its own form. Control characters of a url are percent-encoded.
+A named field that a record repeats is an error, but for WARC-Concurrent-To. An empty table gives no archive and no rows;
+columns of pages beyond page_id, url and html are ignored, whatever their names.
 """
 
 import base64
@@ -121,53 +124,68 @@ def write_archives(pages: DataFrame, at: str, date: str = "1970-01-01T00:00:00Z"
     made.write.option("maxRecordsPerFile", 1).option("lineSep", GAP.decode()).mode("overwrite").text(at)
 
 
+def _decoded(view, at: int, fitted, enough: int | None = None):
+    """(bytes, where the frame ends, what is wrong) of the frame at a place, or its first `enough` bytes."""
+    decoder, out, fed, step, size = zstandard.ZstdDecompressor(dict_data=fitted).decompressobj(), [], at, 4096, 0
+    try:
+        while not decoder.eof and fed < len(view):
+            out.append(decoder.decompress(view[fed : fed + step]))
+            size += len(out[-1])
+            if enough is not None and size >= enough:
+                return b"".join(out)[:enough], None, None
+            fed, step = min(fed + step, len(view)), min(step * 2, 1 << 20)
+    except zstandard.ZstdError as e:
+        return None, None, f"frame: {e}"
+    return (b"".join(out), fed - len(decoder.unused_data), None) if decoder.eof else (None, None, "truncated frame")
+
+
+def _next_record(view, at: int, fitted) -> int:
+    """The next place from `at` on at which a frame decodes to a WARC version line; the end if there is none."""
+    for m in re.compile(re.escape(struct.pack("<I", FRAME_MAGIC))).finditer(view, at):
+        if (_decoded(view, m.start(), fitted, 7)[0] or b"")[:7] == b"WARC/1.":
+            return m.start()
+    return len(view)
+
+
 def frames(content):
     """(offset, bytes of the frame or None, what is wrong) of an archive; the dictionary is loaded on the way."""
     view, at, fitted = memoryview(content), 0, None
     while at < len(view):
+        raw = wrong = end = None
+        magic, size = struct.unpack_from("<II", view, at) if len(view) - at >= 8 else (0, 0)
         if len(view) - at < 8:
-            yield at, None, "truncated frame header"
-            return
-        magic, size = struct.unpack_from("<II", view, at)
-        if magic & 0xFFFFFFF0 == SKIPPABLE:
+            wrong = "truncated frame header"
+        elif magic & 0xFFFFFFF0 == SKIPPABLE:
             if at + 8 + size > len(view):
-                yield at, None, "truncated skippable frame"
-                return
-            if magic == DICTIONARY_MAGIC and at == 0:
-                raw = bytes(view[8 : 8 + size])
-                try:
-                    if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-                        raw = zstandard.ZstdDecompressor().decompress(raw)
-                    fitted = zstandard.ZstdCompressionDict(raw)
-                except (zstandard.ZstdError, ValueError) as e:
-                    yield at, None, f"dictionary: {e}"
-                    return
-            at += 8 + size
-            continue
-        if magic != FRAME_MAGIC:
-            yield at, None, "not a Zstandard frame"
-            return
-        decoder, out, fed, step = zstandard.ZstdDecompressor(dict_data=fitted).decompressobj(), [], at, 4096
-        try:
-            while not decoder.eof and fed < len(view):
-                out.append(decoder.decompress(view[fed : fed + step]))
-                fed, step = min(fed + step, len(view)), min(step * 2, 1 << 20)
-        except zstandard.ZstdError as e:
-            yield at, None, f"frame: {e}"
-            return
-        if not decoder.eof:
-            yield at, None, "truncated frame"
-            return
-        yield at, b"".join(out), None
-        at = fed - len(decoder.unused_data)
-
-
-def headers(raw: bytes) -> dict[str, str]:
+                wrong = "truncated skippable frame"
+            else:
+                if magic == DICTIONARY_MAGIC and at == 0:
+                    raw = bytes(view[8 : 8 + size])
+                    try:
+                        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+                            raw = zstandard.ZstdDecompressor().decompress(raw)
+                        fitted = zstandard.ZstdCompressionDict(raw)
+                    except (zstandard.ZstdError, ValueError) as e:
+                        yield at, None, f"dictionary: {e}"
+                at += 8 + size
+                continue
+        elif magic != FRAME_MAGIC:
+            wrong = "not a Zstandard frame"
+        else:
+            raw, end, wrong = _decoded(view, at, fitted)
+        yield at, raw, wrong
+        at = _next_record(view, at + 1, fitted) if wrong else end
+
+
+def headers(raw: bytes, once: bool = False) -> dict[str, str]:
+    """Fields by lower-case name; once: whether a repeated one is an error."""
     out = {}
     for line in raw.split(b"\r\n"):
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon or not name or name != name.strip():
             raise ValueError(f"malformed header {line[:40]!r}")
+        if once and name.lower() in out and name.lower() != "warc-concurrent-to":
+            raise ValueError(f"repeated {name.lower()}")
         out[name.lower()] = value.strip()
     return out
 
@@ -180,7 +198,7 @@ def parse(frame: bytes) -> dict:
         version, _, lines = head.partition(b"\r\n")
         if not found or not re.fullmatch(rb"WARC/1\.[01]", version):
             raise ValueError("no WARC version line or end of headers")
-        h = headers(lines)
+        h = headers(lines, once=True)
         out |= {"record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "refers_to_id": h.get("warc-refers-to"), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None}
         if missing := [k for k in MANDATORY if k not in h]:
             raise ValueError(f"no {missing[0]}")
