@@ -8,20 +8,23 @@ significant slice downward, every row that the error could lift over it is compa
 exact integer products, ties to the smaller id.
 
 Queries and rows are dealt over (block of rows, group of queries) pairs, so neither side is broadcast, and each pair
-returns k rows a query at most.
+returns k rows a query at most. Repeated rows are counted before, and at most k copies of one are dealt, since no more of
+them can be among the k.
 
 Defined cases: rows whose id or vector is null, or whose vector holds null, NaN or an infinity, take no part; vectors
 meet only vectors of their own length; a query is compared with all rows of another id; repeated rows are candidates
-each, equal repeated queries are one; with fewer than k candidates all are returned; other columns are ignored.
-Components and scores must fit 63 bits.
+each, equal repeated queries are one; with fewer than k candidates all are returned; an empty table gives no rows; other
+columns are ignored. Scores must fit 63 bits: a component of 2^31 / sqrt(length) or more, after scaling, is an error.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import per_batch
+from .workspace import per_batch, table
 
 
 def bitmap(bits: np.ndarray) -> np.ndarray:
@@ -115,32 +118,40 @@ class Slices:
 def top(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = 8192, group: int = 4096, vec: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for each query, a row whose id is divisible by `every`."""
     fine = F.expr(f"`{vec}` is not null and `{vector}` is not null and forall(`{vector}`, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    rows = df.select(vec, vector).where(F.coalesce(fine, F.lit(False))).select(F.col(vec).cast("bigint").alias("id"), F.expr(f"transform(`{vector}`, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("v")).withColumn("dim", F.size("v"))
+    large = f"exists(`{vector}`, x -> abs({scale} * cast(x as double)) * sqrt(size(`{vector}`)) >= 2147483648e0)"
+    whole = F.expr(f"if({large}, raise_error('a vector is too large for 63-bit scores'), transform(`{vector}`, x -> cast(floor({scale} * cast(x as double)) as bigint)))")
+    every_row = df.select(vec, vector).where(F.coalesce(fine, F.lit(False))).select(F.col(vec).cast("bigint").alias("id"), whole.alias("v")).withColumn("dim", F.size("v"))
+    rows = table(every_row.groupBy("id", "dim", "v").agg(F.count("*").alias("copies")), "vectors")
     n = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
     blocks, groups = max(1, -(-n.n // block)), max(1, -(-n.q // group))
     spread = F.xxhash64("id", "v")
-    candidates = rows.select("dim", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where(F.col("id") % every == 0).distinct().select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(spread, F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "id", "v")
+    candidates = rows.select("dim", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("kind"), "id", "v", F.least("copies", F.lit(k)).cast("int").alias("copies"))
+    asked = rows.where(F.col("id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(spread, F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "id", "v", F.lit(1).alias("copies"))
     width = max(blocks * groups, 1)
     dealt = candidates.unionByName(asked).repartition(min(width, 100_000), "dim", "block", "grp").sortWithinPartitions("dim", "block", "grp", "kind", "id")
 
     def run(batches):
         at, ids, vectors, index = None, [], [], None
         for batch in batches:
-            for dim, b, g, kind, own, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (dim, b, g) != at:
-                    at, ids, vectors, index = (dim, b, g), [], [], None
-                if kind == 0:
-                    ids.append(own)
-                    vectors.append(v)
-                    continue
-                if not ids:
+            dim, b, g, kind, own, copies = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 6))
+            flat, ends = batch.column(5).flatten().to_numpy(), np.concatenate(([0], np.cumsum(dim)))
+            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in (dim, b, g, kind)], axis=0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                here = (int(dim[lo]), int(b[lo]), int(g[lo]))
+                if here != at:
+                    at, ids, vectors, index = here, [], [], None
+                rows = flat[ends[lo] : ends[hi]].reshape(hi - lo, here[0])
+                if kind[lo] == 0:
+                    ids.append(np.repeat(own[lo:hi], copies[lo:hi]))
+                    vectors.append(np.repeat(rows, copies[lo:hi], axis=0))
                     continue
-                if index is None:
-                    index = Slices(np.array(ids, np.int64), np.array(vectors, np.int64).reshape(len(ids), dim))
-                found, scores = index.nearest(own, np.array(v, np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int64()), pa.array([hash(tuple(v))] * len(found), pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "query", "vec_id", "score"])
+                if ids and index is None:
+                    index = Slices(np.concatenate(ids), np.concatenate(vectors))
+                for query, v in zip(own[lo:hi].tolist(), rows, strict=True) if ids else ():
+                    found, scores = index.nearest(query, v, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query)), pa.array(np.full(len(found), zlib.crc32(v.tobytes()))), pa.array(found), pa.array(scores)], names=["query_id", "query", "vec_id", "score"])
 
+    # a query id of two vectors is two queries, told apart by a checksum of the vector
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     got = per_batch(dealt, run, "query_id bigint, query bigint, vec_id bigint, score bigint")
     return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
