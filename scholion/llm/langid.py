@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .folds import folds
-from .spans import chunks, code_points, mix, utf8
+from .spans import SPACE, chunks, code_points, mix, utf8
 from .workspace import per_batch
 
 LONGEST = 4
 UNKNOWN = "und"
+BUCKETS = 64
+#: Bytes of a text whose n-grams are held at a time.
+PIECE = 1 << 20
 
 
 @lru_cache(1)
@@ -62,12 +65,38 @@ def ngrams(buf, offsets):
         yield np.concatenate([c[a : max(a, b - k)][v[a : max(a, b - k)]] for k, (c, v) in enumerate(zip(codes, valid, strict=True))])
 
 
-def ranked(grams, size: int) -> np.ndarray:
+def counted(buf, offsets):
+    """For each row its distinct n-grams' hashes and their counts. A long text is read in pieces that end at white space,
+    which no n-gram crosses; a longer run without any stays whole."""
+    if len(offsets) > 2 or len(buf) <= PIECE:
+        for grams in ngrams(buf, offsets):
+            yield np.unique(grams, return_counts=True)
+        return
+    cuts, gaps = [0], np.flatnonzero(SPACE[buf])
+    while len(buf) - cuts[-1] > PIECE:
+        near = gaps[np.searchsorted(gaps, cuts[-1] + PIECE) :]
+        if not len(near):
+            break
+        cuts.append(int(near[0]) + 1)
+    sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for a, b in zip(cuts, [*cuts[1:], len(buf)], strict=True):
+        for grams in ngrams(buf[a:b], np.array([0, b - a])):
+            u, at = np.unique(np.concatenate((sums[0], grams)), return_inverse=True)
+            sums = u, np.bincount(at, np.concatenate((sums[1], np.ones(len(grams)))), len(u)).astype(np.int64)
+    yield sums
+
+
+def ranked(found, n, size: int) -> np.ndarray:
     """The most frequent n-grams in order."""
-    found, n = np.unique(grams, return_counts=True)
     return found[np.argsort(-n, kind="stable")[:size]]
 
 
+def summed(parts):
+    """Distinct n-grams and their counts over (n-grams, counts) pairs."""
+    g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return g, np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
+
+
 def profiles(df: DataFrame, hold, size: int, doc: str, text: str, lang: str) -> dict[str, np.ndarray]:
     """The ranked n-grams of each language of the rows that hold() leaves for training."""
 
@@ -76,8 +105,7 @@ def profiles(df: DataFrame, hold, size: int, doc: str, text: str, lang: str) ->
 
         def out():
             for name, parts in sums.items():
-                g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
+                g, n = summed(parts)
                 for lo in range(0, len(g), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g[lo : lo + 50_000])), pa.array(g[lo : lo + 50_000].view(np.int64)), pa.array(n[lo : lo + 50_000])], names=["lang", "gram", "n"])
 
@@ -87,19 +115,22 @@ def profiles(df: DataFrame, hold, size: int, doc: str, text: str, lang: str) ->
             buf, offsets = utf8(batch.column(1))
             for lo, hi, b, o in chunks(buf, offsets):
                 by = {}
-                for i, g in zip(range(lo, hi), ngrams(b, o), strict=True):
+                for i, found in zip(range(lo, hi), counted(b, o), strict=True):
                     if teach[i]:
-                        by.setdefault(names[i], []).append(g)
-                for name, gs in by.items():
-                    sums.setdefault(name, []).append(np.unique(np.concatenate(gs), return_counts=True))
+                        by.setdefault(names[i], []).append(found)
+                for name, parts in by.items():
+                    sums.setdefault(name, []).append(summed(parts))
                     room += len(sums[name][-1][0])
-            if room > 8_000_000:
+            if room > 2_000_000:
                 yield from out()
                 sums, room = {}, 0
         yield from out()
 
     counts = per_batch(df.select(doc, text, lang), run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
+    # the first of each of many shares of a language's n-grams, then the first of those: at most BUCKETS x size rows meet
+    share = Window.partitionBy("lang", F.pmod("gram", F.lit(BUCKETS))).orderBy(F.desc("n"), "gram")
+    first = counts.withColumn("place", F.row_number().over(share)).where(F.col("place") <= size)
+    top = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     out = {}
     for row in sorted(top.select("lang", "gram", "place").collect(), key=lambda r: (r.lang, r.place)):  # size rows a language
         out.setdefault(row.lang, []).append(row.gram)
@@ -123,7 +154,7 @@ def predict(df: DataFrame, fold: int = 4, held: int = 2, size: int = 300, doc: s
             buf, offsets = utf8(batch.column(1))
             out = []
             for _, _, b, o in chunks(buf, offsets):
-                out += [judged(g, names, known, places, size) for g in ngrams(b, o)]
+                out += [judged(*found, names, known, places, size) for found in counted(b, o)]
             pred, score, distance = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(hold(ids)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], names=[doc, "held_out", "lang_pred", "score", "distance"])
 
@@ -138,7 +169,7 @@ def keep(df: DataFrame, most: float = 0.95, fold: int = 4, held: int = 2, size:
     def run(batches):
         for batch in batches:
             buf, offsets = utf8(batch.column(at))
-            got = [judged(g, names, known, places, size) for _, _, b, o in chunks(buf, offsets) for g in ngrams(b, o)]
+            got = [judged(*found, names, known, places, size) for _, _, b, o in chunks(buf, offsets) for found in counted(b, o)]
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[2] <= most for x in got], pa.bool_()))
 
     return per_batch(df, run, df.schema)
@@ -154,11 +185,11 @@ def _table(learnt: dict, size: int):
     return names, known, places
 
 
-def judged(grams, names, known, places, size: int):
-    """(language, score, distance) of one text's n-grams."""
+def judged(grams, n, names, known, places, size: int):
+    """(language, score, distance) of one text's n-grams and their counts."""
     if not len(grams) or not names:
         return UNKNOWN, 0.0, 1.0
-    own = ranked(grams, size)
+    own = ranked(grams, n, size)
     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
     there = np.where((known[at] == own)[:, None], places[at], size)
     far = np.where(there < size, np.abs(there - np.arange(len(own))[:, None]), size).sum(0) / (size * len(own))
