@@ -3,11 +3,13 @@
 P(grade >= j) = logistic(w . x - t_j), with one weight vector for all grades and ordered thresholds t_1 <= t_2 <= ...
 x is hashed text: each word and each word's shape count 1 / words, and statistics of the whole text (repetition, share of
 capitals, of marks, length) fall into hashed buckets. The model is fitted on a bounded sample, `examples` rows of each
-grade, weighted back to the grades' shares of all rated rows; ratings and ids are never inputs.
+grade, none longer than `longest` characters, weighted back to the grades' shares of all rated rows; ratings and ids are
+never inputs.
 
 Defined cases: null and empty texts have the bucket of no words and are scored like others; rated rows with null doc_id or
-grade teach nothing; with fewer than two grades everything is kept, with tail probabilities of 1; a null doc_id is not
-held out; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+grade teach nothing; of documents that repeat an id the least text teaches; with fewer than two grades everything is kept,
+with tail probabilities of 1; a null doc_id is not held out; repeated rows are scored each; equal scores are no tie, as
+each row is judged by itself; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 import numpy as np
@@ -24,7 +26,7 @@ from .workspace import per_batch
 BITS = 18
 
 #: Class of a byte: small letter or beyond ASCII, capital, digit, other.
-KIND = np.array([0 if b >= 128 or chr(b).islower() else 1 if chr(b).isupper() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint64)
+KIND = np.array([0 if b >= 128 or chr(b).islower() else 1 if chr(b).isupper() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 
 
 def features(buf, offsets):
@@ -33,8 +35,8 @@ def features(buf, offsets):
     h = hashes(data, at)
     head, tail, size = data[at[:-1]], data[at[1:] - 1], np.diff(at)
     second, before = data[np.minimum(at[:-1] + 1, at[1:] - 1)], data[np.maximum(at[1:] - 2, at[:-1])]
-    shape = mix(KIND[head] + 4 * KIND[second] + 16 * KIND[before] + 64 * KIND[tail] + 256 * np.minimum(size, 24).astype(np.uint64) + np.uint64(1 << 40))
-    caps, marks = np.concatenate(([0], np.cumsum(KIND[data] == 1))), np.concatenate(([0], np.cumsum(KIND[data] == 3)))
+    shape = mix(sum(scale * KIND[x].astype(np.uint64) for scale, x in zip(np.array([1, 4, 16, 64], np.uint64), (head, second, before, tail), strict=True)) + np.uint64(256) * np.minimum(size, 24).astype(np.uint64) + np.uint64(1 << 40))
+    kind = KIND[data]
     same = np.concatenate(([0, 0], np.cumsum(h[1:] == h[:-1]))) if len(h) else np.zeros(1, np.int64)
     room = np.uint64((1 << BITS) - 1)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -43,7 +45,7 @@ def features(buf, offsets):
             u, c = np.unique(np.concatenate((h[a:b], shape[a:b])), return_counts=True)
             distinct = len(np.unique(h[a:b])) / n
             letters = max(1, int(at[b] - at[a]))
-            stats = [(1, n.bit_length(), int(distinct * 12)), (2, int((same[b] - same[a + 1]) / n * 10)), (3, int((caps[at[b]] - caps[at[a]]) / letters * 12)), (4, int((marks[at[b]] - marks[at[a]]) / letters * 24)), (5, n.bit_length()), (6, int(min(letters / n, 30)))]
+            stats = [(1, n.bit_length(), int(distinct * 12)), (2, int((same[b] - same[a + 1]) / n * 10)), (3, int(np.count_nonzero(kind[at[a] : at[b]] == 1) / letters * 12)), (4, int(np.count_nonzero(kind[at[a] : at[b]] == 3) / letters * 24)), (5, n.bit_length()), (6, int(min(letters / n, 30)))]
         else:
             u, c, stats = np.zeros(0, np.uint64), np.zeros(0), [(5, 0)]
         s = mix(np.array([sum((x + 1) * 131**i for i, x in enumerate(t)) for t in stats], np.uint64) + np.uint64(1 << 50))
@@ -85,19 +87,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight:
     return out, np.cumsum(np.concatenate((gaps[:1], np.exp(gaps[1:]))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, fold: int, held: int, examples: int, doc: str, text: str, grade: str):
+def fit(docs: DataFrame, ratings: DataFrame, fold: int, held: int, examples: int, longest: int, doc: str, text: str, grade: str):
     taught = ratings.where(fold_of(doc, fold) != held).select(doc, F.col(grade).cast("int").alias("grade"))
-    drawn = F.broadcast(sample(taught, "grade", examples, doc))
-    rows = docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(drawn, doc).select("text", "grade", "weight", doc)
+    drawn = F.broadcast(sample(taught, "grade", examples, doc).withColumnRenamed(doc, "doc"))
+    short = docs.select(F.col(doc).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).where(F.length("text") <= longest)
+    rows = short.join(drawn, "doc").groupBy("doc", "grade", "weight").agg(F.min("text").alias("text")).select("text", "grade", "weight", "doc")
 
     def run(batches):
         for batch in batches:
             buf, offsets = utf8(batch.column(0))
             out = [x for _, _, b, o in chunks(buf, offsets) for x in features(b, o)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], names=["grade", "weight", doc, "i", "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], names=["grade", "weight", "doc", "i", "v"])
 
-    got = per_batch(rows, run, f"grade int, weight double, `{doc}` {docs.schema[doc].dataType.simpleString()}, i binary, v binary").collect()  # at most examples x grades rows
-    got.sort(key=lambda r: (r[doc], r.grade, r.i))
+    got = per_batch(rows, run, f"grade int, weight double, doc {docs.schema[doc].dataType.simpleString()}, i binary, v binary").collect()  # at most examples x grades rows of texts of up to `longest`
+    got.sort(key=lambda r: (r.doc, r.grade))
     kinds = sorted({r.grade for r in got})
     if len(kinds) < 2:
         return None
@@ -105,10 +108,10 @@ def fit(docs: DataFrame, ratings: DataFrame, fold: int, held: int, examples: int
     return kinds, *train(rows, np.searchsorted(kinds, [r.grade for r in got]), np.array([r.weight for r in got]), len(kinds))
 
 
-def score(docs: DataFrame, ratings: DataFrame, fold: int = 5, held: int = 0, examples: int = 1500, keep: int = 1, at_least: float = 0.5, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+def score(docs: DataFrame, ratings: DataFrame, fold: int = 5, held: int = 0, examples: int = 1500, longest: int = 1 << 18, keep: int = 1, at_least: float = 0.5, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
     """(doc, held_out, expected_grade, tails array, kept): tails are P(grade >= j) for each grade but the lowest; a text is
     kept if the tail of the keep-th of them is at_least so much."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ratings, fold, held, examples, doc, text, grade))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ratings, fold, held, examples, longest, doc, text, grade))
     rows = docs.select(doc, text)
     kind = rows.schema[doc].dataType
 
@@ -126,9 +129,9 @@ def score(docs: DataFrame, ratings: DataFrame, fold: int = 5, held: int = 0, exa
     return per_batch(rows, run, f"`{doc}` {kind.simpleString()}, held_out boolean, expected_grade double, tails array<double>, kept boolean")
 
 
-def keep(docs: DataFrame, ratings: DataFrame, tail: int = 1, at_least: float = 0.5, fold: int = 5, held: int = 0, examples: int = 1500, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+def keep(docs: DataFrame, ratings: DataFrame, tail: int = 1, at_least: float = 0.5, fold: int = 5, held: int = 0, examples: int = 1500, longest: int = 1 << 18, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
     """docs without the rows whose tail probability is under at_least; nothing is shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ratings, fold, held, examples, doc, text, grade))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ratings, fold, held, examples, longest, doc, text, grade))
     at = docs.columns.index(text)
 
     def run(batches):
