@@ -195,8 +195,9 @@ def test_language_brute_force_and_cases(spark):
 
 def test_url_rules_brute_force(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "a.example.net", "/en/x"), ("allow", "org", ""), ("block", "b.org", "/q"), ("block", None, "/"), ("block", "", "/")]
-    hosts = ["net", "Example.net", "a.example.net", "z.a.EXAMPLE.net", "org", "b.org", "bb.org", "xexample.net", "c.b.org", "com", "", "a..net", "net."]
-    paths = ["", "/", "/en/", "/en/x/y", "/q?u", "#f", "?x=/en/"]
+    rules += [("block", "deep.com", "/" + "a" * n) for n in range(0, 40, 3)] + [("allow", "deep.com", "/a/"), ("allow", "DEEP.com", "/aaa"), ("allow", "x.y.z.deep.com", "/"), ("block", "y.z.deep.com", None)]
+    hosts = ["net", "Example.net", "a.example.net", "z.a.EXAMPLE.net", "org", "b.org", "bb.org", "xexample.net", "c.b.org", "com", "", "a..net", "net.", "deep.com", "q.deep.com", "w.x.y.z.deep.com", "z.deep.com"]
+    paths = ["", "/", "/en/", "/en/x/y", "/q?u", "#f", "?x=/en/", "/" + "a" * 17, "/" + "a" * 12 + "b", "/a/b", "/é"]
     urls = [(i, u) for i, u in enumerate([None, "no", "//x", *(f"http://{h}{p}" for h in hosts for p in paths)])] + [(None, "http://net/"), (3, "http://net/"), (3, "http://net/")]
     got = urlfilter.judge(spark.createDataFrame([(*u, "x") for u in urls], "page_id bigint, url string, key string"), urlfilter.rules(spark, rules)).collect()
     assert len(got) == len(urls)
@@ -206,7 +207,7 @@ def test_url_rules_brute_force(spark):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = host.translate(LOWER)
-        fit = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fit = [(len(h) + len(p), len(h), v, h + p) for v, h, p in ((v, (h or "").lower(), p or "") for v, h, p in rules) if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fit, default=(0, 0, "allow", None))
         return host, path, best[3], best[2]
 
