@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .folds import folds
+from .folds import folds, sample
 from .spans import SPACE, chunks, code_points, mix, utf8
 from .workspace import per_batch
 
@@ -155,22 +155,51 @@ def predict(df: DataFrame, fold: int = 4, held: int = 2, size: int = 300, doc: s
             out = []
             for _, _, b, o in chunks(buf, offsets):
                 out += [judged(*found, names, known, places, size) for found in counted(b, o)]
-            pred, score, distance = zip(*out, strict=True) if out else ((), (), ())
+            pred, score, distance, _ = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(hold(ids)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], names=[doc, "held_out", "lang_pred", "score", "distance"])
 
     return per_batch(rows, run, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, lang_pred string, score double, distance double")
 
 
-def keep(df: DataFrame, most: float = 0.95, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """df without the rows that have no language: `und`, or farther than `most` from every profile; nothing is shuffled."""
-    names, known, places = _table(profiles(df, lambda ids: folds(ids, fold) == held, size, doc, text, lang), size)
+def limits(df: DataFrame, learnt, hold, examples: int, spread: float, most: float, size: int, doc: str, text: str, lang: str) -> dict[str, float]:
+    """The distance up to which a text counts as one of a language: `spread` standard deviations above the mean of at most
+    `examples` of its training rows, and `most` at the largest."""
+    names, known, places = learnt
+    drawn = F.broadcast(sample(df.select(doc, lang), lang, examples, doc).select(F.col(doc).alias("doc"), F.col(lang).alias("lang")))
+    rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(drawn, "doc").select("doc", "text", "lang")
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            teach, own = ~hold(batch.column(0).to_pylist()), batch.column(2).to_pylist()
+            buf, offsets = utf8(batch.column(1))
+            for i, found in enumerate(f for _, _, b, o in chunks(buf, offsets) for f in counted(b, o)):
+                if teach[i] and own[i] in names and len(found[0]):
+                    far = judged(*found, names, known, places, size)[3][names.index(own[i])]
+                    n, one, two = sums.get(own[i], (0, 0.0, 0.0))
+                    sums[own[i]] = n + 1, one + far, two + far * far
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([x[i] for x in sums.values()], pa.float64()) for i in range(3))], names=["lang", "n", "one", "two"])
+
+    got = per_batch(rows, run, "lang string, n double, one double, two double").groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n", "one", "two"))).collect()  # a row a language
+    return {r.lang: min(most, r.one / r.n + spread * max(0.0, r.two / r.n - (r.one / r.n) ** 2) ** 0.5) for r in got}
+
+
+def keep(df: DataFrame, most: float = 0.95, spread: float = 5.0, examples: int = 2000, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """df without the rows that have no language: `und`, or farther from the nearest profile than its language's own texts
+    are (see limits()); nothing is shuffled."""
+
+    def hold(ids):
+        return folds(ids, fold) == held
+
+    names, known, places = _table(profiles(df, hold, size, doc, text, lang), size)
+    far = limits(df, (names, known, places), hold, examples, spread, most, size, doc, text, lang) if names else {}
     at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
             buf, offsets = utf8(batch.column(at))
             got = [judged(*found, names, known, places, size) for _, _, b, o in chunks(buf, offsets) for found in counted(b, o)]
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[2] <= most for x in got], pa.bool_()))
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[2] <= far.get(x[0], most) for x in got], pa.bool_()))
 
     return per_batch(df, run, df.schema)
 
@@ -186,13 +215,13 @@ def _table(learnt: dict, size: int):
 
 
 def judged(grams, n, names, known, places, size: int):
-    """(language, score, distance) of one text's n-grams and their counts."""
+    """(language, score, distance, distances from all) of one text's n-grams and their counts."""
     if not len(grams) or not names:
-        return UNKNOWN, 0.0, 1.0
+        return UNKNOWN, 0.0, 1.0, ()
     own = ranked(grams, n, size)
     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
     there = np.where((known[at] == own)[:, None], places[at], size)
     far = np.where(there < size, np.abs(there - np.arange(len(own))[:, None]), size).sum(0) / (size * len(own))
     order = np.argsort(far, kind="stable")
     second = far[order[1]] if len(names) > 1 else 1.0
-    return names[order[0]], float(1 - far[order[0]] / second) if second > 0 else 0.0, float(far[order[0]])
+    return names[order[0]], float(1 - far[order[0]] / second) if second > 0 else 0.0, float(far[order[0]]), far
