@@ -16,8 +16,8 @@ the driver gets are counts, a size histogram, and frequent shingles (at most `fr
 
 Defined cases: null and empty texts and texts of white space have no shingle and are linked with nothing; a null
 doc_id has component null and links nothing; rows that repeat a doc_id are one document's, and their class or classes
-carry its id; ties do not occur (sizes are exact); an empty table gives no rows; other columns are ignored. Sets and
-shingles are told apart by 64-bit hashes.
+carry its id; ties do not occur (sizes are exact); an empty table gives no rows; other columns are ignored. Sets are told
+apart by 128-bit hashes, shingles by 64-bit ones.
 """
 
 import numpy as np
@@ -44,8 +44,16 @@ def needed(n, t: int):
     return -(-t * n // 100)
 
 
-def class_id(found: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+def digests(found: np.ndarray) -> tuple[int, int]:
+    """The two halves of the 128-bit hash of a set."""
+    h = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (h >> 64) - (1 << 63)
+
+
+def class_id(found: np.ndarray, clash=frozenset()) -> int:
+    """The first half, or the second for a set whose first half another set has as well."""
+    first, second = digests(found)
+    return second if first in clash else first
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -70,9 +78,9 @@ def sets(buf, offsets, k: int):
 
 
 def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
-    """Rows of kind 0: (doc, n, cid, sketch) of each text; of kind 1: (cid: a shingle, n: its texts) of those that repeat in a block of a task."""
+    """Rows of kind 0: (doc, n, cid, other, sketch) of each text; of kind 1: (cid: a shingle, n: its texts) of those that repeat in a block of a task."""
     kind = to_arrow_type(docs.schema[doc].dataType)
-    names = ["kind", doc, "n", "cid", "sketch"]
+    names = ["kind", doc, "n", "cid", "other", "sketch"]
 
     def run(batches):
         held, size = [], 0
@@ -82,7 +90,7 @@ def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
             u, n = u[n > 1], n[n > 1]
             for lo in range(0, len(u), 100_000):
                 m = len(u[lo : lo + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array(n[lo : lo + 100_000], pa.int64()), pa.array(u[lo : lo + 100_000].view(np.int64)), pa.nulls(m, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array(n[lo : lo + 100_000], pa.int64()), pa.array(u[lo : lo + 100_000].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
 
         for batch in batches:
             buf, offsets = utf8(batch.column(1))
@@ -90,18 +98,18 @@ def described(docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
                 n, cid, marks = [], [], []
                 for s in sets(b, o, k):
                     n.append(len(s))
-                    cid.append(class_id(s))
+                    cid.append(digests(s))
                     marks.append(sketch(s))
                     held.append(s)
                     size += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(marks, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *(pa.array([c[i] for c in cid], pa.int64()) for i in (0, 1)), pa.array(marks, pa.binary())], names=names)
             if size > HELD:
                 yield from repeated()
                 held, size = [], 0
         if held:
             yield from repeated()
 
-    return per_batch(docs.select(doc, text), run, f"kind int, `{doc}` {docs.schema[doc].dataType.simpleString()}, n bigint, cid bigint, sketch binary")
+    return per_batch(docs.select(doc, text), run, f"kind int, `{doc}` {docs.schema[doc].dataType.simpleString()}, n bigint, cid bigint, other bigint, sketch binary")
 
 
 def boundary(sizes: dict[int, int], t: int, weight: float) -> int:
@@ -121,7 +129,7 @@ def boundary(sizes: dict[int, int], t: int, weight: float) -> int:
     return best
 
 
-def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, text: str) -> DataFrame:
+def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, clash, text: str) -> DataFrame:
     """(sig, cid, n, at): entries of lists and pairs of shingles, and the place of their first shingle in the order; each class once a task."""
 
     def run(batches):
@@ -131,7 +139,7 @@ def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, text: str)
             for _, _, b, o in chunks(buf, offsets):
                 sig, cid, size, place = [np.zeros(0, np.uint64)], [], [], []
                 for s in sets(b, o, k):
-                    n, own = len(s), class_id(s)
+                    n, own = len(s), class_id(s, clash)
                     if 100 * n < t * (n + 1) or own in seen:  # too small for any other set to link with
                         continue
                     if len(seen) < 1_000_000:
@@ -169,9 +177,10 @@ def components(edges: DataFrame) -> DataFrame:
             far = up.select(F.col("label").alias("to"), F.col("to").alias("further"))
             up = up.join(far, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
         up = table(up, "pointers")
-        labels = table(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        labels, was = table(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), labels
         ends = edges.join(up.withColumnsRenamed({"label": "a", "to": "x"}), "a").join(up.withColumnsRenamed({"label": "b", "to": "y"}), "b")
-        edges = table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "edges")
+        edges, last = table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "edges"), edges
+        drop(up, was, last)
     return labels
 
 
@@ -181,7 +190,7 @@ def _apart(live: DataFrame, labels: DataFrame, by_sig) -> DataFrame:
     return marked.withColumn("lo", F.min("label").over(by_sig)).withColumn("hi", F.max("label").over(by_sig)).where("lo != hi").drop("lo", "hi")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: int, doc: str, text: str) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: int, clash, doc: str, text: str) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that link."""
     one = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("keeper").alias(f"k{c}"))
 
@@ -193,16 +202,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
     kind = docs.schema[doc].dataType.simpleString()
     likely = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(na, nb) >= {t} * greatest(na, nb) and ka is not null and kb is not null")
     likely = table(per_batch(likely.select("a", "b", "na", "nb", "sa", "sb", "ka", "kb"), bounded, f"a bigint, b bigint, ka {kind}, kb {kind}"), "likely")
-    ids = table(likely.select(F.explode(F.array("ka", "kb")).alias(doc)).distinct(), "likely_ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids_table = table(likely.select(F.explode(F.array("ka", "kb")).alias(doc)).distinct(), "likely_ids")
+    ids = F.broadcast(ids_table) if ids_table.count() <= BROADCAST_IDS else ids_table
 
     def whole(batches):
         for batch in batches:
             buf, offsets = utf8(batch.column(0))
             for _, _, b, o in chunks(buf, offsets):
                 got = list(sets(b, o, k))
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["cid", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s, clash) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["cid", "items"])
 
     full = per_batch(docs.select(doc, text).join(ids, doc, "left_semi").select(text), whole, "cid bigint, items binary")
     full = table(full.dropDuplicates(["cid"]), "sets")
@@ -217,7 +225,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     held = lambda c: full.select(F.col("cid").alias(c), F.col("items").alias(f"i{c}"))
-    return table(per_batch(likely.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "ia", "ib"), exact, "a bigint, b bigint"), "links")
+    links = table(per_batch(likely.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "ia", "ib"), exact, "a bigint, b bigint"), "links")
+    drop(likely, ids_table, full)
+    return links
 
 
 def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, frequent_most: int = 1_000_000, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +235,7 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
     spark = docs.sparkSession
     rows = docs.select(doc, text)
     first = table(described(rows, k, doc, text), "described")
-    each = first.where("kind = 0").select(doc, "n", "cid", "sketch")
+    each = first.where("kind = 0").select(doc, "n", "cid", "other", "sketch")
     common = first.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from).orderBy(F.desc("n"), "cid").limit(frequent_most)
     common = np.sort(common.select("cid").toPandas()["cid"].to_numpy(np.int64).view(np.uint64))  # at most frequent_most; sets the order only
     frequent = spark.sparkContext.broadcast(common)
@@ -234,14 +244,20 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
     again = first.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     limit = boundary(sizes, t, 8 * again / total if total else 0)
 
-    classes = table(each.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(doc).alias("keeper")), "classes")
+    grouped = lambda rows: table(rows.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(doc).alias("keeper"), F.min("other").alias("lo"), F.max("other").alias("hi")), "classes")
+    classes = grouped(each)
+    clash = frozenset(r.cid for r in classes.where("lo != hi").select("cid").toLocalIterator())  # some two of 10^10 distinct texts
+    if clash:
+        each = each.withColumn("cid", F.when(F.col("cid").isin(*clash), F.col("other")).otherwise(F.col("cid")))
+        classes = grouped(each)
     by_sig = Window.partitionBy("sig")
-    entries = signatures(rows, k, t, limit, frequent, text).withColumn("lo", F.min("cid").over(by_sig)).withColumn("hi", F.max("cid").over(by_sig)).where("lo != hi")
+    entries = signatures(rows, k, t, limit, frequent, clash, text).withColumn("lo", F.min("cid").over(by_sig)).withColumn("hi", F.max("cid").over(by_sig)).where("lo != hi")
     live = table(entries.select("sig", "cid", "n", "at").distinct(), "live")
 
     # leaders are the members that meet most others over all their lists: the original rather than a copy of it
     met = live.withColumn("m", F.count("*").over(by_sig)).withColumn("met", F.sum("m").over(Window.partitionBy("cid")))
-    live = table(met.withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "at", "place"), "ranked")
+    live, entered = table(met.withColumn("place", F.row_number().over(by_sig.orderBy(F.desc("met"), "cid"))).select("sig", "cid", "n", "at", "place"), "ranked"), live
+    drop(entered)
     # of the list of the first shingle that two sets share, the places bound what they share; other lists need not hold the pair
     fit = f"100 * least(na, nb) >= {t} * greatest(na, nb) and (100 + {t}) * least(na - xa, nb - xb) >= {t} * (na + nb)"
     links = labels = None
@@ -250,7 +266,7 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
         lead = F.max(F.when(F.col("place") == leader, F.struct(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"), F.col("label").alias("la")))).over(by_sig)
         led = apart.withColumn("lead", lead).select("lead.*", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"), "label").where(f"la != label and a != b and {fit}")
         pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verified(pairs, classes, rows, k, t, doc, text)
+        found = verified(pairs, classes, rows, k, t, clash, doc, text)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
 
@@ -258,7 +274,7 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
     apart = table(_apart(live, labels, by_sig).where(F.col("place") > LEADERS), "apart")
     other = apart.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"), F.col("label").alias("lb"))
     rest = apart.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"), F.col("label").alias("la")).join(other, "sig").where(f"a < b and la != lb and {fit}").select("a", "b").distinct()
-    more = verified(rest, classes, rows, k, t, doc, text)
+    more = verified(rest, classes, rows, k, t, clash, doc, text)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
