@@ -11,7 +11,8 @@ item has becomes a candidate with a shift; its stretch of 64 bytes is tested fir
 exact edit distance of the whole item to the best place in the window's neighbourhood (bit-parallel over the item). An item is found if the distance is at most (1 - similarity) of its length.
 
 Texts are compared with A-Z lower-cased and white space as blanks. Items travel in slices of at most `slice_bytes`, each
-broadcast by itself, so a benchmark of any size needs a bounded table in memory; documents are read, never shuffled.
+broadcast by itself; a task reads its documents once, some HELD bytes at a time, and loads one slice after the other for
+them, so a benchmark of any size needs a bounded table in memory. Documents are read, never shuffled.
 
 Defined cases: null and empty texts or items match nothing; items shorter than `least` bytes are found only as exact
 runs of whole words, which white space, marks and unspaced scripts part; equal items are reported each; repeated documents are reported each; a null doc_id is reported as
@@ -34,8 +35,10 @@ STEPS, SEED = 48, 20240607
 DEPTHS = (8, 12, 16, 20, 24, 32, 48)
 #: Share of copies at the full allowance that the simulated search must find, the copies, and (every byte, repeats) by cost.
 TARGET, COPIES, CHOICES = 0.97, 256, ((False, 2), (False, 4), (True, 2), (True, 4), (True, 8))
-#: Candidates tested at once.
+#: Candidates tested at once, windows walked at once, bytes of documents that a task holds for all slices of items.
 BATCH = 1 << 13
+WINDOWS = 1 << 18
+HELD = 32 << 20
 BLANK = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
 
 
@@ -53,8 +56,9 @@ def walk(text: np.ndarray, starts: np.ndarray, repeat: int, seen: dict | None =
     """Yields (depth, windows, their keys, where they end): the sampled places up to each depth as one hash.
 
     seen: for each depth a table by the first bits of the keys; the walk ends there for windows that it lacks."""
-    padded = np.append(text, np.zeros(STEPS, np.uint8))
-    bits, places = walk_bits(repeat), sampled(repeat)
+    lo = int(starts.min()) if len(starts) else 0  # the walk reads up to STEPS bytes from the last start
+    padded = np.append(text[lo : int(starts.max()) + STEPS if len(starts) else 0], np.zeros(STEPS, np.uint8))
+    bits, places, starts = walk_bits(repeat), sampled(repeat), starts - lo
     kept, at, out = np.arange(len(starts)), starts.astype(np.int32), np.full(len(starts), repeat + 1, np.uint64)
     for j in range(STEPS if seen is None else max(seen, default=0)):
         c = padded[at]
@@ -67,7 +71,7 @@ def walk(text: np.ndarray, starts: np.ndarray, repeat: int, seen: dict | None =
                 table = seen[j + 1]
                 some = np.flatnonzero(table[(k >> np.uint64(65 - len(table).bit_length())).astype(np.int64)])
                 kept, at, out, k = kept[some], at[some], out[some], k[some]
-            yield j + 1, kept, k, at.copy()
+            yield j + 1, kept, k, at.astype(np.int64) + lo
 
 
 def edited(text: np.ndarray, edits: int, rng) -> np.ndarray:
@@ -284,8 +288,9 @@ class Items:
         """(row, item, place) of windows that share a key with an item and pass the first test."""
         tries = set()
         for every, r in sorted(self.seen):
-            starts = all_starts(text, offsets, every)
-            for depth, windows, k, _ in walk(text, starts, r, self.seen[every, r]):
+            whole = all_starts(text, offsets, every)
+            runs = (whole[a : a + WINDOWS] for a in range(0, len(whole), WINDOWS))
+            for starts, (depth, windows, k, _) in ((s, x) for s in runs for x in walk(text, s, r, self.seen[every, r])):
                 if (every, r, depth) not in self.index:
                     continue
                 keys, item, shift = self.index[every, r, depth]
@@ -354,41 +359,61 @@ def slices(benchmark: DataFrame, similarity: float, least: int, slice_bytes: int
         yield Items(held, similarity, least)
 
 
+def searched(batches, shared, at: int):
+    """(record batch, for each row [(slice, item number, distance, start, end)]) of all batches, held some at a time."""
+
+    def found(held):
+        out = [[[] for _ in range(b.num_rows)] for b in held]
+        for n, part in enumerate(shared):
+            items = part.value
+            for batch, rows in zip(held, out, strict=True):
+                buf, offsets = utf8(batch.column(at))
+                for lo, _, b, o in chunks(buf, offsets):
+                    for i, got in enumerate(items.found(b, o)):
+                        rows[lo + i] += [(n, *g) for g in got]
+            if len(shared) > 1:
+                part.__dict__.pop("_value", None)  # read again for the next documents
+        return zip(held, out, strict=True)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD or len(shared) == 1:
+            yield from found(held)
+            held, size = [], 0
+    if held:
+        yield from found(held)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least: int = 32, slice_bytes: int = 8 << 20, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, distance, item_bytes, similarity, start, end): one row for each pair, at its best place (bytes)."""
     rows = docs.select(doc, text)
     kind, item_kind = rows.schema[doc].dataType, benchmark.schema[item].dataType
     schema = f"`{doc}` {kind.simpleString()}, `{item}` {item_kind.simpleString()}, distance int, item_bytes int, similarity double, start bigint, end bigint"
-    out = None
-    for part in slices(benchmark, similarity, least, slice_bytes, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches, shared=shared):
-            items = shared.value
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                buf, offsets = utf8(batch.column(1))
-                got = [(ids[lo + i], *f) for lo, _, b, o in chunks(buf, offsets) for i, found in enumerate(items.found(b, o)) for f in found]
-                size = [len(items.rows[g[1]][1]) for g in got]
-                columns = ([g[0] for g in got], [items.rows[g[1]][0] for g in got], [g[2] for g in got], size, [1 - g[2] / n for g, n in zip(got, size, strict=True)], [g[3] for g in got], [g[4] for g in got])
-                kinds = (to_arrow_type(kind), to_arrow_type(item_kind), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[doc, item, "distance", "item_bytes", "similarity", "start", "end"])
-
-        found = per_batch(rows, run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    shared = [docs.sparkSession.sparkContext.broadcast(part) for part in slices(benchmark, similarity, least, slice_bytes, item, item_text)]
+    if not shared:
+        return docs.sparkSession.createDataFrame([], schema)
+    named = [[(i, len(x)) for i, x in part.value.rows] for part in shared]
+
+    def run(batches):
+        for batch, found in searched(batches, shared, 1):
+            ids = batch.column(0).to_pylist()
+            got = [(i, *named[n][item], d, a, b) for i, f in zip(ids, found, strict=True) for n, item, d, a, b in f]
+            columns = ([g[0] for g in got], [g[1] for g in got], [g[3] for g in got], [g[2] for g in got], [1 - g[3] / g[2] for g in got], [g[4] for g in got], [g[5] for g in got])
+            kinds = (to_arrow_type(kind), to_arrow_type(item_kind), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[doc, item, "distance", "item_bytes", "similarity", "start", "end"])
+
+    return per_batch(rows, run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least: int = 32, slice_bytes: int = 8 << 20, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows in which an item is found; nothing is shuffled."""
     at = docs.columns.index(text)
-    for part in slices(benchmark, similarity, least, slice_bytes, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    shared = [docs.sparkSession.sparkContext.broadcast(part) for part in slices(benchmark, similarity, least, slice_bytes, item, item_text)]
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                buf, offsets = utf8(batch.column(at))
-                yield batch.filter(pa.array([not f for _, _, b, o in chunks(buf, offsets) for f in shared.value.found(b, o)], pa.bool_()))
+    def run(batches):
+        for batch, found in searched(batches, shared, at):
+            yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-        docs = per_batch(docs, run, docs.schema)
-    return docs
+    return per_batch(docs, run, docs.schema) if shared else docs
