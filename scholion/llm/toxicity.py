@@ -6,9 +6,10 @@ gathers the forms of an inflected word. Vectors are (1 + ln tf) idf, of length 1
 all documents: idf = ln(1 + N / (df + SMOOTH N)) ^ POWER, so that stems seen in few texts do not outweigh all others, nor
 the many common ones the rest. Words of no example's stem are no terms.
 
-The index holds postings by term and block of examples, and the largest weight of each term in each block. A query bounds
-its cosine with every block by these maxima, evaluates the blocks of the largest bounds, and then those whose bound reaches
-the k-th best found: the k neighbours are exact. Votes are weighted by 1 / (distance + 0.05); the votes of the examples
+The index holds postings by term and block of examples, and the largest weight of each term in each block; lists of terms
+that a share COMMON of the examples hold stand in full, and many queries are multiplied with them at once. What these give
+and the maxima of the other terms bound a query's cosine with every block: it evaluates the blocks of the largest bounds,
+and then those whose bound reaches the k-th best found, so the k neighbours are exact. Votes are weighted by 1 / (distance + 0.05); the votes of the examples
 among each other, weighted back to the label shares of all labelled rows, are fitted by a monotone function, which makes
 the vote a probability.
 
@@ -31,8 +32,8 @@ from .workspace import per_batch
 
 STEM = 4
 SMOOTH, POWER = 0.01, 2
-#: Examples in a block, and blocks that a query evaluates first.
-BLOCK, FIRST = 32, 8
+#: Examples in a block, and blocks that a query evaluates first; share of the examples whose lists stand in full.
+BLOCK, FIRST, COMMON = 32, 8, 0.04
 #: Rows that the document frequencies are summed in.
 SLICES = 16
 
@@ -81,11 +82,18 @@ class Index:
         self.order = clustered(vectors, terms)  # the vector that stands at each place
         self.place = np.empty(self.n, np.int64)
         self.place[self.order] = np.arange(self.n)
-        size = [len(vectors[i][0]) for i in self.order.tolist()]
-        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in self.order.tolist())])
-        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in self.order.tolist())])
-        at = np.repeat(np.arange(self.n), size)
-        by = np.argsort(term, kind="stable")
+        held = [vectors[i] for i in self.order.tolist()]
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in held)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in held)])
+        at = np.repeat(np.arange(self.n), [len(t) for t, _ in held])
+        common = np.flatnonzero(np.bincount(term, minlength=terms) > COMMON * self.n)
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        full = self.row[term] >= 0
+        self.full = np.zeros((len(common), self.n))
+        self.full[self.row[term[full]], at[full]] = weight[full]
+        by = np.flatnonzero(~full)
+        by = by[np.argsort(term[by], kind="stable")]
         self.at, self.weight = at[by].astype(np.int32), weight[by]
         cell = term[by] * self.blocks + self.at // block
         self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
@@ -96,36 +104,49 @@ class Index:
         self.most = self.most.reshape(terms, self.blocks)
 
     def _sums(self, t, w, blocks) -> np.ndarray:
-        """The products with the vectors at the places of some blocks."""
-        cells = (t[:, None] * self.blocks + blocks[None, :]).ravel()
-        a = self.start[cells]
-        size = self.start[cells + 1] - a
+        """What the postings of some blocks add to the products, by place."""
+        blocks = np.sort(blocks)
+        cut = np.flatnonzero(np.diff(blocks) > 1) + 1
+        lo, hi = blocks[np.concatenate(([0], cut))], blocks[np.concatenate((cut - 1, [len(blocks) - 1]))] + 1
+        base = (t * self.blocks)[:, None]
+        a = self.start[(base + lo).ravel()].astype(np.int64)
+        size = self.start[(base + hi).ravel()] - a
+        some = np.flatnonzero(size)
+        a, size = a[some], size[some]
         ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(a - (ends - size), size)
-        return np.bincount(self.at[at], self.weight[at] * np.repeat(np.repeat(w, len(blocks)), size), self.n)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1):
-        """(vectors, cosines) of the k nearest with a cosine above 0, nearest first; the smaller number first if equal."""
-        if not len(t) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[t] + 1e-6
-        order = np.argsort(-bound, kind="stable")
-        m = max(FIRST, -(-2 * k // self.block))
-        sums = self._sums(t, w, order[:m])
-        if without >= 0:
-            sums[self.place[without]] = 0
-        if m < self.blocks:
-            kth = np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0
-            rest = order[m:][bound[order[m:]] >= kth]
-            if len(rest):
-                sums += self._sums(t, w, rest)
-                if without >= 0:
-                    sums[self.place[without]] = 0
-        sums = np.round(sums, 12)
-        some = np.flatnonzero(sums >= max(1e-12, np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0))
-        ids = self.order[some]
-        best = np.lexsort((ids, -sums[some]))[:k]
-        return ids[best], sums[some][best]
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - size), size)
+        return np.bincount(self.at[at], self.weight[at] * np.repeat(w[some // len(lo)], size), self.n)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None):
+        """For each query (vectors, cosines) of the k nearest with a cosine above 0, nearest first; the smaller number
+        first if equal. without: for each query a vector that is left out."""
+        wide = np.zeros((len(queries), len(self.full)))
+        for i, (t, w) in enumerate(queries):
+            row = self.row[t]
+            wide[i, row[row >= 0]] = w[row >= 0]
+        known = wide @ self.full
+        over = np.maximum.reduceat(known, np.arange(0, self.n, self.block), axis=1) if self.n else known
+        for i, (t, w) in enumerate(queries):
+            if not len(t) or not self.n:
+                yield np.zeros(0, np.int64), np.zeros(0)
+                continue
+            rest = self.row[t] < 0
+            t, w, sums = t[rest], w[rest], known[i]
+            bound = over[i] + w @ self.most[t] + 1e-6
+            order = np.argsort(-bound, kind="stable")
+            m = max(FIRST, -(-2 * k // self.block))
+            for blocks in (order[:m], order[m:]):
+                kth = np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0
+                blocks = blocks[bound[blocks] >= kth]
+                if len(blocks):
+                    sums = sums + self._sums(t, w, blocks)
+                if without:
+                    sums[self.place[without[i]]] = -1
+            sums = np.round(sums, 12)
+            some = np.flatnonzero(sums >= max(1e-12, np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0))
+            ids = self.order[some]
+            best = np.lexsort((ids, -sums[some]))[:k]
+            yield ids[best], sums[some][best]
 
 
 def monotone(x, y, w):
@@ -151,7 +172,8 @@ class Model:
         self.index = Index(unit, len(known))
         w = np.array(weights, float)
         self.rest = float((w * self.labels).sum() / w.sum()) if len(w) else 0.0
-        votes = np.array([self.vote(*self.index.nearest(*u, k, without=i)) for i, u in enumerate(unit)])
+        runs = [range(a, min(a + 256, len(unit))) for a in range(0, len(unit), 256)]
+        votes = np.array([self.vote(*got) for run in runs for got in self.index.search([unit[i] for i in run], k, list(run))])
         some = np.flatnonzero(~np.isnan(votes)) if len(votes) else np.zeros(0, int)
         self.votes, self.value = monotone(votes[some], self.labels[some], w[some]) if len(some) else (np.zeros(1), np.full(1, self.rest))
 
@@ -165,11 +187,11 @@ class Model:
         weight = 1 / (1.05 - np.minimum(near, 1.0))
         return float((weight * self.labels[ids]).sum() / weight.sum()) if len(ids) else float("nan")
 
-    def score(self, t, counts):
-        """(probability, examples nearest first, their cosines)."""
-        ids, near = self.index.nearest(*self.unit(t, counts), self.k)
-        v = self.vote(ids, near)
-        return self.rest if v != v else float(np.interp(v, self.votes, self.value)), ids, near
+    def scores(self, texts):
+        """(probability, examples nearest first, their cosines) of each of (term numbers, counts)."""
+        for ids, near in self.index.search([self.unit(t, c) for t, c in texts], self.k):
+            v = self.vote(ids, near)
+            yield self.rest if v != v else float(np.interp(v, self.votes, self.value)), ids, near
 
 
 def frequencies(texts: DataFrame, known: np.ndarray):
@@ -234,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int, held: int, examples: int,
     return Model(known, idf, [r[doc] for r in got], [r.label for r in got], [r.weight for r in got], [(np.searchsorted(known, h), c) for h, c in found], k)
 
 
-def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, examples: int = 2500, longest: int = 1 << 18, k: int = 100, threshold: float = 0.7, evidence: int = 5, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, examples: int = 1500, longest: int = 1 << 18, k: int = 100, threshold: float = 0.7, evidence: int = 5, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc, held_out, score, predicted, neighbours): neighbours are the `evidence` nearest examples (id, label, cosine)."""
     rows = docs.select(doc, text)
     kind = rows.schema[doc].dataType
@@ -247,7 +269,7 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, exam
         for batch in batches:
             ids = batch.column(0).to_pylist()
             buf, offsets = utf8(batch.column(1))
-            out = [m.score(t, n) for _, _, b, o in chunks(buf, offsets) for t, n in of_terms(b, o, m.known)]
+            out = [x for _, _, b, o in chunks(buf, offsets) for x in m.scores(of_terms(b, o, m.known))]
             near = [[{doc: m.docs[i], "label": int(m.labels[i]), "cosine": c} for i, c in zip(x[1][:evidence].tolist(), x[2][:evidence].tolist(), strict=True)] for x in out]
             scores = [x[0] for x in out]
             one = pa.struct([(doc, to_arrow_type(kind)), ("label", pa.int32()), ("cosine", pa.float64())])

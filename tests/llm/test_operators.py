@@ -166,7 +166,7 @@ def test_index_finds_exact_neighbours():
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
     for i in range(0, 500, 7):
-        ids, near = index.nearest(*rows[i], 9, without=i)
+        ids, near = next(index.search([rows[i]], 9, [i]))
         all_ = np.round(dense @ dense[i], 12)
         all_[i] = 0
         want = [j for j in np.lexsort((np.arange(500), -all_))[:9] if all_[j] > 0]
