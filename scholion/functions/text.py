@@ -6,9 +6,10 @@ BLANKS = "[ \\t\\n\\r\\x0b\\x0c]"
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/")
 DOI_TAIL = ".,;:)]}"
 STOP = (
-    "the a an and or of in on for with by to at from as is are was were be been using based via under over into between among "
-    "effect effects study studies their its this that these those new novel high low"
-).split()
+    "the", "a", "an", "and", "or", "of", "in", "on", "for", "with", "by", "to", "at", "from", "as", "is", "are", "was", "were", "be", "been",
+    "using", "based", "via", "under", "over", "into", "between", "among", "effect", "effects", "study", "studies", "their", "its", "this", "that",
+    "these", "those", "new", "novel", "high", "low",
+)
 STEMS = ("s", "es", "ing", "ed", "tion", "ers", "ies")
 CANONICAL = ("polymerization", "chemistry", "addition", "reaction")
 ANCHORS = ("shrinkage", "shrinkage stress", "contraction", "polymerization shrinkage", "stress")
@@ -22,6 +23,10 @@ ROUTE_KEYWORDS = {
 }
 
 
+#: DuckDB's list of the words of a title: what ASCII marks and blanks leave.
+DUCK_WORDS = "list_distinct(regexp_extract_all(lower({}), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'))"
+
+
 def strip(d, x):
     return d.ra(x, f"^{BLANKS}+|{BLANKS}+$", "")
 

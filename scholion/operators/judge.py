@@ -1,4 +1,8 @@
-"""Relevance judgement behind an interface: requests in, responses out, one lenient parser for all judges."""
+"""Relevance judgement behind an interface: requests in, responses out, written before they are used.
+
+A request is (op, request_key, payload); the key is a hash of the other two, so a recorded answer can be replayed. Answers
+may differ from call to call, so each() writes them to the shared folder before anything reads them.
+"""
 
 import json
 import re
@@ -10,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.bindings import register
 from ..plans.dialect import SPARK
+from . import parsing
+from .bfs import checkpoint
+from .parsing import label, objects  # noqa: F401
 
 LABELS = "idx int, score int, reason string, category string, route string, info_gain double, evidence_type string, has_limitation boolean"
 
@@ -31,21 +38,38 @@ class ReplayJudge(Judge):
         return requests.select("op", "request_key").join(self.recorded.select("op", "request_key", "response"), ["op", "request_key"], "left")
 
 
-class FakeJudge(Judge):
-    """Scripted decisions by the global index that a payload lists as [n]; UNCERTAIN where the script says nothing."""
+class ScriptedJudge(Judge):
+    """Answers by a function of (op, payload), the same for the same request."""
 
-    def __init__(self, decisions: dict[int, str]):
-        self.decisions = decisions
+    def __init__(self, answer):
+        self.answer = answer
 
     def run(self, requests):
-        decisions = self.decisions
+        answer = self.answer
 
-        def answer(batches):
+        def said(batches):
             for rows in batches:
-                found = [[int(n) for n in re.findall(r"\[(\d+)\]", p or "")] for p in rows["payload"]]
-                yield pd.DataFrame({"op": rows["op"], "request_key": rows["request_key"], "response": [json.dumps([{"index": n, "decision": decisions.get(n, "UNCERTAIN")} for n in x]) for x in found]})
+                yield pd.DataFrame({"op": rows["op"], "request_key": rows["request_key"], "response": [answer(o, p) for o, p in zip(rows["op"], rows["payload"], strict=True)]})
+
+        return requests.mapInPandas(said, "op string, request_key string, response string")
+
+
+class FakeJudge(ScriptedJudge):
+    """Scripted decisions by the global index that a payload lists as [n]; UNCERTAIN where the script says nothing."""
+
+    def __init__(self, decisions: dict[int, str]):
+        super().__init__(lambda op, payload: json.dumps([{"index": int(n), "decision": decisions.get(int(n), "UNCERTAIN")} for n in re.findall(r"\[(\d+)\]", payload or "")]))
 
-        return requests.mapInPandas(answer, "op string, request_key string, response string")
+
+class LexicalJudge(Judge):
+    """Scores of numbered titles by the Jaccard index of their stems and the question's (the payload's first line), in
+    hundredths: a deterministic stand-in of our own."""
+
+    def run(self, requests):
+        lines = requests.selectExpr("op", "request_key", "split(payload, '\\n')[0] as question", "explode(regexp_extract_all(payload, r'\\[(\\d+)\\] ([^\\n]*)', 0)) as line")
+        rows = lines.selectExpr("op", "request_key", "cast(regexp_extract(line, r'\\[(\\d+)\\]', 1) as int) as idx", f"{T.stems(SPARK, 'line')} as a", f"{T.stems(SPARK, 'question')} as b")
+        scored = rows.selectExpr("op", "request_key", f"struct(idx as index, cast(floor(100e0 * ({T.jaccard(SPARK, 'a', 'b')})) as int) as score) as x")
+        return scored.groupBy("op", "request_key").agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("response"))
 
 
 def requests(op: str, batches: DataFrame) -> DataFrame:
@@ -53,82 +77,43 @@ def requests(op: str, batches: DataFrame) -> DataFrame:
     return batches.select(F.lit(op).alias("op"), F.sha2(F.concat(F.lit(op), "payload"), 256).alias("request_key"), "payload")
 
 
-def objects(text: str) -> list[dict]:
-    """The objects of a response: without a code fence, the outermost array; else every balanced {...} that parses."""
-    text = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", text or "")
-    lo, hi = text.find("["), text.rfind("]")
-    if 0 <= lo < hi:
-        try:
-            got = json.loads(text[lo : hi + 1])
-            return [x for x in got if isinstance(x, dict)]
-        except ValueError:
-            pass
-    out, depth, start, quoted, skip = [], 0, 0, False, False
-    for i, c in enumerate(text):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            start, depth = (i, 1) if not depth else (start, depth + 1)
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                try:
-                    out.append(json.loads(text[start : i + 1]))
-                except ValueError:
-                    pass
-    return out
-
-
-def label(x: dict) -> dict | None:
-    """One label with defaults; None without an integer index or a numeric score."""
-    n, score = x.get("index"), x.get("score")
-    if isinstance(n, bool) or not isinstance(n, int) or isinstance(score, bool) or not isinstance(score, int | float):
-        return None
-    try:
-        gain = float(x.get("info_gain") or 0)
-    except (TypeError, ValueError):
-        gain = 0.0
-    text = lambda *keys: next((str(x[k]) for k in keys if x.get(k)), "")
-    return {"idx": n, "score": int(score), "reason": text("reason"), "category": text("category", "aspect"), "route": text("route"), "info_gain": gain, "evidence_type": text("evidence_type") or "unknown", "has_limitation": bool(x.get("has_limitation"))}
+def each(judge: Judge, op: str, rows: DataFrame) -> DataFrame:
+    """rows (with a payload) and the judge's response to each, written to the shared folder."""
+    keyed = rows.withColumn("request_key", F.sha2(F.concat(F.lit(op), "payload"), 256))
+    asked = keyed.select(F.lit(op).alias("op"), "request_key", "payload").distinct()
+    answers = checkpoint(judge.run(asked)).select("request_key", "response")
+    return keyed.join(answers, "request_key", "left").drop("request_key", "payload")
 
 
 def parse_labels(responses: DataFrame, key: str = "request_key", response: str = "response") -> DataFrame:
     """(key, label columns) of every label in the responses; a response without any gives no row."""
-    names = [f.split()[0] for f in LABELS.split(", ")]
-
-    def run(batches):
-        for rows in batches:
-            got = [(k, y) for k, r in zip(rows[key], rows[response], strict=True) for x in objects(r) if (y := label(x))]
-            yield pd.DataFrame({key: [k for k, _ in got], **{n: [y[n] for _, y in got] for n in names}})
-
-    return responses.select(key, response).mapInPandas(run, f"`{key}` {responses.schema[key].dataType.simpleString()}, {LABELS}")
+    return parsing.parsed(responses, lambda r: [y for x in objects(r) if (y := label(x))], LABELS, key, response).drop("n")
 
 
-QUESTION = "the thing in that onthe thre"
+def _words(d):
+    """Two papers' stems: a title and the question, which is the title of the first key paper that a paper has."""
+    asked = "select title as question from gold where item_id = (select min(item_id) from gold where length(title) > 40)"
+    return f"select paper_id, {T.stems(d, 'title')} as a, {T.stems(d, 'question')} as b from papers cross join ({asked}) q"
 
 
 def lexical_sql(d):
-    """The lexical judge: Jaccard index of the stems of title and question, in hundredths."""
-    return f"with w as (select paper_id, {T.stems(d, 'title')} as a, {T.stems(d, chr(39) + QUESTION + chr(39))} as b from papers) select paper_id, cast(floor(100e0 * ({T.jaccard(d, 'a', 'b')})) as int) as score from w"
+    """The lexical judge's score of every title."""
+    return f"with w as ({_words(d)}) select paper_id, cast(floor(100e0 * ({T.jaccard(d, 'a', 'b')})) as int) as score from w"
 
 
 def lexical_relevance(spark, sf_dir):
-    """L1 with the deterministic lexical judge."""
+    """L1 with the deterministic lexical judge: titles against a benchmark title (one row)."""
     text = lexical_sql(SPARK)
     register(spark, sf_dir, text)
     return spark.sql(text)
 
 
-RESPONSES = """select o_orderkey, concat(case when o_orderkey % 2 = 0 then concat('```json', chr(10)) else 'Answer: ' end, '[{"index": ', cast(o_orderkey % 15 as varchar(20)), ', "score": ', cast(o_orderkey % 101 as varchar(20)),
-  '.7, "aspect": "', o_orderpriority, '"}', case when o_orderkey % 3 = 0 then ', {"index": "x", "score": 1}' else '' end, ']', case when o_orderkey % 2 = 0 then concat(chr(10), '```') else '' end) as response from orders"""
+RESPONSES = """select o_orderkey, concat(case when o_orderkey % 2 = 0 then concat('```json', chr(10)) else 'Answer: ' end, case when o_orderkey % 5 = 0 then '[{"bad": }, ' else '[' end, '{"index": ', cast(o_orderkey % 15 as varchar(20)), ', "score": ', cast(o_orderkey % 101 as varchar(20)),
+  '.7, "aspect": "', o_orderpriority, '", "reason": "a } b"}', case when o_orderkey % 3 = 0 then ', {"index": "x", "score": 1}' else '' end, ']', case when o_orderkey % 2 = 0 then concat(chr(10), '```') else '' end) as response from orders"""
 
 
 def lenient_labels(spark, sf_dir):
-    """Labels out of fenced and chatty responses."""
+    """Labels out of fenced, chatty and broken responses."""
     register(spark, sf_dir, RESPONSES)
     return parse_labels(spark.sql(RESPONSES), "o_orderkey").select("o_orderkey", "idx", "score", "category", "evidence_type")
 

@@ -60,8 +60,8 @@ def mmr_rerank(spark, sf_dir):
     return rerank(spark.sql(text), "year")
 
 
-ORACLE = f"""with recursive c as (select *, cast(row_number() over (partition by year order by score desc, paper_id) as int) as seq from ({_rows(DUCK)}) r qualify seq <= 25),
-sim as (select a.year, a.seq as a, b.seq as b, greatest(case when a.route = b.route then 1e0 else 0e0 end, case when a.category = b.category then 0.6e0 else 0e0 end, {T.jaccard(DUCK, "a.words", "b.words")}) as s from c a join c b on a.year = b.year),
+ORACLE = f"""with recursive c as (select *, cast(row_number() over (partition by year order by score desc, paper_id) as int) as seq from ({_rows(DUCK)}) r),
+sim as (select a.year, a.seq as a, b.seq as b, greatest(case when a.route <> '' and a.route = b.route then 1e0 else 0e0 end, case when a.category <> '' and a.category = b.category then 0.6e0 else 0e0 end, {T.jaccard(DUCK, "a.words", "b.words")}) as s from c a join c b on a.year = b.year),
 p(year, place, seqs) as (select distinct year, 0, cast([] as int[]) from c
   union all select year, place + 1, list_append(seqs, seq) from (select p.year, p.place, p.seqs, c.seq, row_number() over (partition by p.year
       order by round(0.7e0 * c.score / 100e0 - 0.3e0 * coalesce((select max(s) from sim where sim.year = c.year and sim.a = c.seq and list_contains(p.seqs, sim.b)), 0e0), 12) desc, c.seq) as n

@@ -1,4 +1,4 @@
-"""The reference queries: each builder gives its text for a dialect.
+"""Reference queries of one text for both engines: each builder gives it for a dialect (see pairs for those of two).
 
 Everything here is joins, windows, aggregates and array functions over the logical tables, so Catalyst picks the physical
 plan: ranked cuts become WindowGroupLimit before their shuffle, semi and anti joins stay keyed, aggregates are partial. What
@@ -15,62 +15,9 @@ def query(f):
     return f
 
 
-ROUTE = "coalesce(nullif(route, ''), nullif(category, ''), '未分类')"
-COVERAGE = f"""select {ROUTE} as route, count(*) as paper_count, max(case when year > 0 then year end) as latest_year,
-  bool_or(evidence_type = 'review') as has_review, bool_or(evidence_type = 'counter_example') as has_counter_example,
-  bool_or(evidence_type = 'original_experiment') as has_original, bool_or(has_limitation) as has_limitation from scored group by 1"""
-#: Fixed value: the year that staleness is counted from.
-NOW = 2026
-
-
 # ---- coverage -------------------------------------------------------------------------------------------------
 
 
-@query
-def coverage_map(d):
-    """A1: papers, latest year and kinds of evidence of every route."""
-    return COVERAGE
-
-
-@query
-def coverage_gaps(d):
-    """Thin, unreviewed and stale routes; a route can be both."""
-    return f"""with c as ({COVERAGE})
-select route, case when paper_count <= 1 then concat('only ', cast(paper_count as varchar(20))) when not has_review and paper_count >= 3 then 'no review'
-  else 'no counter example' end as gap from c where paper_count <= 1 or paper_count >= 3 and (not has_review or not has_counter_example)
-union all select route, 'stale' as gap from c where {NOW} - latest_year > 3"""
-
-
-@query
-def gap_text(d):
-    """Every condition that holds for a route, in one line, thin routes first."""
-    parts = d.arr(
-        "case when paper_count <= 1 then concat('仅', cast(paper_count as varchar(20)), '篇') end", "case when not has_review then '缺综述' end", "case when not has_counter_example then '缺反例' end", f"case when {NOW} - latest_year > 3 then concat('最新', cast(latest_year as varchar(20))) end"
-    )
-    return f"""with c as ({COVERAGE}), t as (select route, paper_count, {d.keep(parts, "x", "x is not null")} as parts from c)
-select cast(row_number() over (order by paper_count, route) as int) as place, route, {d.join("parts", "；")} as line from t where {d.size("parts")} > 0"""
-
-
-@query
-def coverage_summary(d):
-    """Routes by papers, most first."""
-    return f"with c as ({COVERAGE}) select cast(row_number() over (order by paper_count desc, route) as int) as place, route, paper_count, latest_year from c"
-
-
-@query
-def strategy_coverage(d):
-    """Distinct canonical routes of each strategy, and which are thin; other kinds of route are left out."""
-    return """with r as (select distinct lower(route) as canonical, case when length(route) = 4 then 'strategy_family' else 'material' end as kind,
-  nullif(concat('strategy', cast(length(route) as varchar(20)), substr(route, 4, 1)), '') as strategy from scored)
-select coalesce(strategy, canonical) as strategy, count(*) as routes, count(*) <= 1 as gap from r where kind = 'strategy_family' group by 1"""
-
-
-@query
-def gap_queries(d):
-    """A recall query for each thin route."""
-    return f"""with c as ({COVERAGE}) select route, concat('"', route, '" AND "', 'polymerization shrinkage', '"') as query from c where paper_count <= 20"""
-
-
 @query
 def family_map(d):
     """Each route's family by its lower-cased members and representative."""
@@ -79,50 +26,15 @@ m as (select family, {d.explode("members")} as member from f union select family
 select m.family, m.member, n_nationkey from m join nation on lower(n_name) = m.member"""
 
 
-@query
-def semantic_cover(d):
-    """Fixed terms that some learned term holds or is held by, after canonicalisation."""
-    return f"""with h as (select distinct {T.canonicalize(d, "p_type")} as t from part where p_partkey % 3 = 0), l as (select distinct {T.canonicalize(d, "split_part(p_name, ' ', 1)")} as t from part)
-select h.t as term from h where exists (select 1 from l where l.t <> '' and (instr(h.t, l.t) > 0 or instr(l.t, h.t) > 0))"""
-
-
-@query
-def blind_spots(d):
-    """Gold routes that no scored paper's canonical route covers, and the others' weights."""
-    return """with s as (select concat('route', cast(paper_id % 4 as varchar(20))) as canonical, count(*) as weight from scored group by 1)
-select g.route, coalesce(max(s.weight), 0) as weight, max(s.weight) is null as blind from gold g left join s on s.canonical = g.route group by g.route"""
-
-
 # ---- filters ---------------------------------------------------------------------------------------------------
 
 
-@query
-def threshold_filter(d):
-    """F2, O1: scores of at least 70, best first, twenty of them."""
-    return "select paper_id, score, cast(row_number() over (order by score desc, paper_id) as int) as place from scored where score >= 70 order by score desc, paper_id limit 20"
-
-
-@query
-def prefilter_recall_first(d):
-    """Batches of 15; only IRRELEVANT is dropped, so is a paper that its batch's answer leaves out; a batch without an answer stays."""
-    return """with b as (select paper_id, cast(floor((row_number() over (order by paper_id) - 1) / 15) as bigint) as batch from papers),
-a as (select batch, paper_id, case paper_id % 3 when 0 then 'IRRELEVANT' when 1 then 'RELEVANT' else 'UNCERTAIN' end as decision from b where batch % 4 <> 3 and paper_id % 11 <> 5),
-k as (select distinct batch from a)
-select b.paper_id, b.batch, a.decision from b left join a on a.paper_id = b.paper_id left join k on k.batch = b.batch where k.batch is null or a.decision <> 'IRRELEVANT'"""
-
-
 @query
 def prefilter_gate(d):
     """queries with over 30 new papers are filtered first."""
     return "select qid, count(*) as n, count(*) > 30 as filtered from (select distinct qid, paper_id from query_hits) x group by qid"
 
 
-@query
-def batch_ids(d):
-    """F8: batches of 15 with the index in the batch."""
-    return "select paper_id, cast(floor((n - 1) / 15) as bigint) as batch, cast((n - 1) % 15 as int) as idx from (select paper_id, row_number() over (order by paper_id) as n from papers) x"
-
-
 @query
 def prompt_rows(d):
     """what a judge reads of each paper."""
@@ -141,21 +53,6 @@ def early_papers(d):
     return "select paper_id, year from papers where year is not null and year <= 2015"
 
 
-@query
-def route_keyword_cover(d):
-    """whether any query holds a key word of each route; an unknown route is not covered."""
-    rows = " union all ".join(f"select '{r}' as route, {T.sql_list(d, k)} as words" for r, k in T.ROUTE_KEYWORDS.items())
-    return f"""with k as ({rows} union all select 'unknown' as route, null as words), w as (select route, {d.explode("words")} as word from k),
-q as (select distinct lower(p_type) as q from part union select 'thiol-ene step-growth networks' as q)
-select k.route, max(case when q.q is not null then 1 else 0 end) = 1 as covered from k left join w on w.route = k.route left join q on instr(q.q, w.word) > 0 group by k.route"""
-
-
-@query
-def anchor_concepts(d):
-    """concepts that hold a target word."""
-    return f"select distinct p_type as concept, {d.any(T.sql_list(d, ('steel', 'brass')), 'a', 'instr(lower(p_type), a) > 0')} as anchor from part"
-
-
 # ---- keys and duplicates ---------------------------------------------------------------------------------------
 
 
@@ -172,36 +69,6 @@ def dedup_by_id(d):
     return "select paper_id, qid, seq, score from (select *, row_number() over (partition by paper_id order by seq, qid, score) as n from query_hits) x where n = 1"
 
 
-@query
-def anti_join_seen(d):
-    """Papers of one round's queries that the round before has not seen."""
-    return "select distinct paper_id from query_hits h where qid in (2, 4) and not exists (select 1 from query_hits s where s.qid in (1, 3) and s.paper_id = h.paper_id)"
-
-
-@query
-def channel_union(d):
-    """Citation and keyword pools, the citation channel's row first."""
-    return """with u as (select dst as paper_id, 1 as channel, src as origin from cites where src < 20 union all select paper_id, 2 as channel, qid as origin from query_hits where qid < 20)
-select paper_id, channel, origin from (select *, row_number() over (partition by paper_id order by channel, origin) as n from u) x where n = 1"""
-
-
-@query
-def expansion_union(d):
-    """U4: backward, forward and related papers of the seeds; the last of a key wins."""
-    return """with u as (select dst as paper_id, 1 as kind, src as seed from cites where src < 5 union all select src as paper_id, 2 as kind, dst as seed from cites where dst < 5
-  union all select b.dst as paper_id, 3 as kind, a.dst as seed from cites a join cites b on b.src = a.src and b.dst <> a.dst where a.dst < 5 and a.src < 50)
-select paper_id, kind, seed from (select *, row_number() over (partition by paper_id order by kind desc, seed desc) as n from u) x where n = 1"""
-
-
-@query
-def route_sets(d):
-    """Routes of two years: in both, in either, only in the first."""
-    one, two = ("(select distinct route from scored where year % 2 = {} and score >= 75)".format(i) for i in (0, 1))
-    return f"""select 'both' as kind, route from (select route from {one} a intersect select route from {two} b) x
-union all select 'either' as kind, route from (select route from {one} a union select route from {two} b) x
-union all select 'first' as kind, route from (select route from {one} a except select route from {two} b) x"""
-
-
 @query
 def ordered_unique(d):
     """Routes in order of their first paper."""
@@ -227,16 +94,6 @@ def distinct_queries(d):
     return "select distinct lower(p_type) as query from part"
 
 
-@query
-def doi_funnel(d):
-    """The stage at which each gold paper is lost."""
-    own = T.normalize_doi(d, "doi")
-    return f"""with p as (select {own} as doi, max(paper_id) as paper_id, max(coalesce(score, 0)) as score from (select p.paper_id, p.doi, s.score from papers p left join scored s on s.paper_id = p.paper_id) x where doi is not null group by 1),
-raw as (select doi from p), pre as (select doi from p where paper_id % 3 <> 0), sc as (select doi from p where paper_id % 3 <> 0 and score > 0), ok as (select doi from p where paper_id % 3 <> 0 and score >= 70)
-select g.item_id, case when raw.doi is null then 'never retrieved' when pre.doi is null then 'prefilter' when sc.doi is null then 'scoring' when ok.doi is null then 'threshold' else 'qualified' end as stage
-from gold g left join raw on raw.doi = g.doi left join pre on pre.doi = g.doi left join sc on sc.doi = g.doi left join ok on ok.doi = g.doi"""
-
-
 @query
 def doi_normalize(d):
     """DOIs as evaluation compares them."""
@@ -249,12 +106,6 @@ def multi_get(d):
     return "select paper_id, title from papers where paper_id in (select dst from (select distinct dst from cites where src = 1) x order by dst limit 50) and title <> ''"
 
 
-@query
-def source_exists(d):
-    """Whether a paper of the same title is there."""
-    return "select p_partkey, exists (select 1 from papers q where lower(q.venue) = concat('src', cast(p_size as varchar(20)))) as found from part"
-
-
 # ---- ranking -----------------------------------------------------------------------------------------------------
 
 QUOTA = "select *, row_number() over (partition by qid order by score desc, seq, paper_id) as place from query_hits"
@@ -272,21 +123,6 @@ def coverage_merge(d):
     return f"""select paper_id, qid, score from (select *, row_number() over (partition by paper_id order by qid, place) as n from ({QUOTA}) x where place <= 25) y where n = 1 and score >= 70"""
 
 
-@query
-def global_merge(d):
-    """O3: the first row of each paper over all queries, then the threshold, best first."""
-    return """select paper_id, qid, score, cast(row_number() over (order by score desc, seq, paper_id) as int) as place
-from (select *, row_number() over (partition by paper_id order by seq, qid, score) as n from query_hits) x where n = 1 and score >= 70"""
-
-
-@query
-def merge_ab(d):
-    """Gold papers that each merge keeps, by route."""
-    return f"""with c as (select distinct paper_id from (select *, row_number() over (partition by paper_id order by qid, place) as n from ({QUOTA}) x where place <= 25) y where n = 1 and score >= 70),
-g as (select distinct paper_id from (select *, row_number() over (partition by paper_id order by seq, qid, score) as n from query_hits) x where n = 1 and score >= 70)
-select k.route, count(*) as total, count(g.paper_id) as global_hits, count(c.paper_id) as coverage_hits from gold k left join g on g.paper_id = k.item_id left join c on c.paper_id = k.item_id group by k.route"""
-
-
 @query
 def seed_topk(d):
     """Five seeds with a DOI and a score of 70 or more."""
@@ -299,155 +135,12 @@ def early_cited_topk(d):
     return "select paper_id, year, citation_count from papers where year is not null and year <= 2015 order by coalesce(citation_count, 0) desc, paper_id limit 30"
 
 
-@query
-def deep_rank(d):
-    """Where each gold paper stands in the pool."""
-    return """with r as (select paper_id, row_number() over (order by score desc, seq, paper_id) as place from (select *, row_number() over (partition by paper_id order by seq, qid, score) as n from query_hits) x where n = 1)
-select g.item_id, cast(case when r.place <= 500 then r.place end as int) as place, case when r.place is null or r.place > 500 then 'QUERY COVERAGE' when r.place > 200 then 'TOP-K TRUNCATION' else 'IN POOL' end as verdict
-from gold g left join r on r.paper_id = g.item_id"""
-
-
-@query
-def pool_rank(d):
-    """Rank by citations in the early pool, else an expansion failure."""
-    return f"""with r as (select {T.normalize_doi(d, "doi")} as doi, min(place) as place from (select doi, row_number() over (order by coalesce(citation_count, 0) desc, paper_id) as place from papers where year <= 2015) x where doi is not null group by 1)
-select g.item_id, cast(r.place as int) as place, case when r.place is null then 'EXPANSION' when r.place > 30 then 'RANKING' else 'FOUND' end as verdict from gold g left join r on r.doi = g.doi where g.year <= 2015"""
-
-
-RUN = """select qid, count(*) as returned, count(case when first_seq then 1 end) as new_candidates, count(case when first_seq and score >= 40 then 1 end) as new_scored,
-  count(case when first_seq and score >= 70 then 1 end) as new_relevant, count(distinct case when first_route then paper_id % 7 + 10 * (qid % 3) end) as new_routes, sum(score) / 10e0 as cost
-from (select *, row_number() over (partition by paper_id order by qid, seq, score) = 1 as first_seq, row_number() over (partition by paper_id % 7, qid % 3 order by qid, seq, paper_id) = 1 as first_route from query_hits) x group by qid"""
-
-
-@query
-def query_run_metrics(d):
-    """A5: what each query added; a query that returned nothing has a duplicate rate of 1."""
-    return f"select qid, returned, new_candidates, new_scored, new_relevant, new_routes, round(1e0 - new_candidates / cast(greatest(returned, 1) as double), 6) as duplicate_rate from ({RUN}) r"
-
-
-@query
-def query_return_score(d):
-    """Return of each query, five best."""
-    return f"""select qid, round(case when returned = 0 then 0e0 else 40e0 * new_relevant / returned + 20e0 * new_scored / returned + 25e0 * least(new_routes / 2e0, 1e0) - 10e0 * least(cost / 120e0, 1e0)
-  - (case when new_scored > 0 then 5e0 * (1e0 - new_candidates / cast(new_scored as double)) else 0e0 end) end, 6) as return_score from ({RUN}) r order by return_score desc, qid limit 5"""
-
-
 @query
 def last_used_queries(d):
     """The ten last steps of each session."""
     return "select session_id, step, action_type from (select *, row_number() over (partition by session_id order by step desc) as n from search_log) x where n <= 10"
 
 
-# ---- citations ---------------------------------------------------------------------------------------------------
-
-
-@query
-def citation_backward(d):
-    """G1: the first twenty references of each seed that are there."""
-    return "select src, dst from (select c.src, c.dst, row_number() over (partition by c.src order by c.dst) as n from cites c join part on p_partkey = c.dst where c.src <= 50) x where n <= 20"
-
-
-@query
-def citation_forward(d):
-    """Citing papers of each seed, most cited first."""
-    return """with deg as (select dst, count(*) as cited from cites group by dst)
-select dst, src, cited from (select c.dst, c.src, coalesce(g.cited, 0) as cited, row_number() over (partition by c.dst order by coalesce(g.cited, 0) desc, c.src) as n from cites c left join deg g on g.dst = c.src where c.dst <= 50) x where n <= 20"""
-
-
-@query
-def cocitation(d):
-    """The ten papers cited with each seed most often."""
-    return """select a, b, together from (select a, b, together, row_number() over (partition by a order by together desc, b) as n from (
-  select x.dst as a, y.dst as b, count(*) as together from cites x join cites y on y.src = x.src and y.dst <> x.dst where x.dst <= 20 group by x.dst, y.dst) t) z where n <= 10"""
-
-
-@query
-def keyword_recall(d):
-    """Papers before 2015 whose title has a query's word, the fifty most cited of each, marked depth 0."""
-    return """with q as (select distinct split_part(lower(title), ' ', 1) as word from papers where paper_id < 20), w as (select distinct paper_id, word from (select paper_id, split_part(lower(title), ' ', 1) as word from papers union all select paper_id, split_part(lower(title), ' ', 2) as word from papers) t)
-select word, paper_id, cast(0 as int) as depth from (select q.word, p.paper_id, row_number() over (partition by q.word order by p.citation_count desc, p.paper_id) as n
-  from q join w on w.word = q.word join papers p on p.paper_id = w.paper_id where q.word <> '' and p.year < 2015) x where n <= 50"""
-
-
-# ---- evaluation -------------------------------------------------------------------------------------------------
-
-FOUND = "select distinct g.item_id from gold g join documents on instr(text, g.passage) > 0"
-
-
-@query
-def benchmark_eval(d):
-    """Hits of the gold set, and the share of the must-haves."""
-    return f"""with f as ({FOUND}) select count(*) as total, count(f.item_id) as hits, count(case when must_hit then 1 end) as gold, count(case when must_hit and f.item_id is not null then 1 end) as gold_hits,
-  round(coalesce(count(case when must_hit and f.item_id is not null then 1 end) / nullif(cast(count(case when must_hit then 1 end) as double), 0e0), 0e0), 6) as coverage from gold g left join f on f.item_id = g.item_id"""
-
-
-@query
-def route_recall(d):
-    """A3: total and hits by route, in order of route."""
-    return f"with f as ({FOUND}) select route, count(*) as total, count(f.item_id) as hits from gold g left join f on f.item_id = g.item_id group by route"
-
-
-@query
-def missed_items(d):
-    """Gold papers that were not found."""
-    return f"with f as ({FOUND}) select item_id, route from gold g where not exists (select 1 from f where f.item_id = g.item_id)"
-
-
-@query
-def foundational_recall(d):
-    """A4: recall of the gold papers up to 2015; an unknown year counts as late."""
-    return f"with f as ({FOUND}) select count(*) as total, count(f.item_id) as hits, round(count(f.item_id) / greatest(cast(count(*) as double), 1e0), 6) as recall from gold g left join f on f.item_id = g.item_id where coalesce(year, 9999) <= 2015"
-
-
-@query
-def failure_five_way(d):
-    """Source, query or truncation, prefilter, merge or score."""
-    return f"""with f as ({FOUND}), h as (select paper_id, max(score) as score, count(distinct qid) as queries from query_hits group by paper_id)
-select g.item_id, case when f.item_id is null and g.item_id % 2 = 0 then 'A source' when h.paper_id is null then 'B query' when h.queries < 3 then 'C truncation' when g.item_id % 5 = 1 then 'D prefilter' when h.score < 70 then 'D score' else 'E semantic' end as failure
-from gold g left join f on f.item_id = g.item_id left join h on h.paper_id = g.item_id"""
-
-
-@query
-def role_join(d):
-    """The last role given to each early paper, OTHER where none is."""
-    return """with r as (select paper_id, role, why from (select paper_id, case seq % 3 when 0 then 'FOUNDATIONAL' when 1 then 'EARLY_MECHANISM' else 'REVIEW' end as role, concat('seq ', cast(seq as varchar(20))) as why,
-  row_number() over (partition by paper_id order by seq desc, qid desc) as n from query_hits where qid % 4 = 0) x where n = 1),
-e as (select paper_id from papers where year is not null and year <= 2015 order by coalesce(citation_count, 0) desc, paper_id limit 30)
-select e.paper_id, coalesce(r.role, 'OTHER') as role, coalesce(r.why, '') as why from e left join r on r.paper_id = e.paper_id"""
-
-
-OUTCOME = """select qid, qid % 4 as support, case when qid % 13 = 0 then 'RATE_LIMITED' when qid % 11 = 0 then 'ERROR' when hits = 0 then 'NO_HITS' when fresh = 0 then 'ALL_ALREADY_FOUND' when relevant = 0 then 'NEW_BUT_IRRELEVANT' else 'NEW_RELEVANT' end as outcome
-from (select qid, count(case when score > 10 then 1 end) as hits, count(case when score > 10 and paper_id % 9 = 0 then 1 end) as fresh, count(case when score >= 95 and paper_id % 9 = 0 then 1 end) as relevant from query_hits group by qid) x"""
-
-
-@query
-def query_outcome(d):
-    """The outcome of each query, the first that applies."""
-    return OUTCOME
-
-
-@query
-def outcome_by_support(d):
-    """A10: outcomes by kind of support, the useful share of those that can be evaluated."""
-    return f"""select support, count(*) as queries, count(case when outcome = 'NEW_RELEVANT' then 1 end) as useful, count(case when outcome not in ('RATE_LIMITED', 'ERROR') then 1 end) as evaluable,
-  round(coalesce(count(case when outcome = 'NEW_RELEVANT' then 1 end) / nullif(cast(count(case when outcome not in ('RATE_LIMITED', 'ERROR') then 1 end) as double), 0e0), 0e0), 6) as yield from ({OUTCOME}) o group by support"""
-
-
-@query
-def ab_arms(d):
-    """Two arms; valid only if at least nine tenths of both can be evaluated."""
-    return f"""with a as (select qid % 2 as arm, count(*) as queries, count(case when outcome not in ('RATE_LIMITED', 'ERROR') then 1 end) as evaluable, count(case when outcome = 'NEW_RELEVANT' then 1 end) as useful from ({OUTCOME}) o group by 1),
-r as (select qid % 2 as arm, count(distinct paper_id) as relevant from query_hits where score >= 95 group by 1)
-select a.arm, queries, useful, relevant, round(relevant / cast(queries as double), 6) as per_query, min(evaluable / cast(queries as double)) over () >= 0.9e0 as valid from a join r on r.arm = a.arm"""
-
-
-@query
-def run_stability(d):
-    """Runs that have each route, and whether all or at least four do."""
-    return """with r as (select distinct paper_id % 6 as run, route from scored where score >= 85), n as (select count(distinct run) as runs from r)
-select route, count(*) as runs, count(*) = max(n.runs) as backbone, count(*) >= 4 as stable from r cross join n group by route"""
-
-
 # ---- knowledge ---------------------------------------------------------------------------------------------------
 
 
@@ -467,19 +160,6 @@ def historical_queries(d):
     return f"""select rec, term, concat('"', term, '" AND "polymerization shrinkage"') as query from (select *, row_number() over (partition by ckey order by rec, case dim when 'historical' then 0 when 'route' then 1 when 'synonym' then 2 else 3 end, pos) as n from ({_canonical_terms(d)}) c where ckey <> '') x where n = 1"""
 
 
-@query
-def historical_channels(d):
-    """The same by kind."""
-    return f"""select dim, count(*) as queries from (select *, row_number() over (partition by ckey order by rec, case dim when 'historical' then 0 when 'route' then 1 when 'synonym' then 2 else 3 end, pos) as n from ({_canonical_terms(d)}) c where ckey <> '') x where n = 1 group by dim"""
-
-
-@query
-def historical_topn(d):
-    """Historical, then route, then synonym terms without case, the first fifty."""
-    return """select term, cast(place as int) as place from (select term, row_number() over (order by prio, rec, pos) as place from (select *, row_number() over (partition by lower(term) order by prio, rec, pos) as n
-  from (select *, case dim when 'historical' then 0 when 'route' then 1 else 2 end as prio from terms where dim <> 'material') t) x where n = 1) y where place <= 50"""
-
-
 @query
 def canonicalize(d):
     """Canonical keys of terms."""
@@ -492,58 +172,8 @@ def tokenize_stem(d):
     return f"select paper_id, {d.explode(T.stems(d, 'abstract'))} as stem from papers"
 
 
-@query
-def title_jaccard(d):
-    """Similarity of neighbouring papers: equal route 1, equal category 0.6, or the titles' Jaccard index."""
-    return f"""with t as (select paper_id, route, category, {T.stems(d, "title")} as words from scored)
-select a.paper_id, b.paper_id as other, round(greatest(case when a.route = b.route then 1e0 else 0e0 end, case when a.category = b.category then 0.6e0 else 0e0 end, {T.jaccard(d, "a.words", "b.words")}), 6) as similarity
-from t a join t b on b.route = a.route and b.paper_id > a.paper_id and b.paper_id - a.paper_id <= 60"""
-
-
 # ---- query strings ---------------------------------------------------------------------------------------------
 
-INTENTS = """select p_partkey as id, split_part(p_name, ' ', 1) as keyword, split_part(p_name, ' ', 2) as synonym, p_type as must, case when p_size % 3 = 0 then p_brand end as exclude,
-  case when p_size % 2 = 0 then 1990 + p_size end as year_from, case when p_size % 5 <> 0 then 2030 - p_size end as year_to, case p_size % 3 when 0 then 'ar' when 1 then 're' end as document_type from part"""
-
-
-def _compiled(d, exclude=True, must="must"):
-    bare = "replace({}, '\"', '')"
-    phrase = f"replace({bare.format(must)}, ' ', ' PRE/0 ')"
-    main = f"concat('((', {T.quoted(d, 'keyword')}, ' OR ', {T.quoted(d, 'synonym')}, ') AND ', {phrase}, ')')"
-    body = f"case when exclude is not null then concat('(', {main}, ') AND NOT (', {T.quoted(d, 'exclude')}, ')') else {main} end" if exclude else main
-    return f"""concat('TITLE-ABS-KEY(', {body}, ')', case when year_from is null then '' else concat(' AND PUBYEAR > ', cast(year_from - 1 as varchar(20))) end, case when year_to is null then '' else concat(' AND PUBYEAR < ', cast(year_to + 1 as varchar(20))) end,
-  case when document_type is null then '' else concat(' AND DOCTYPE(', document_type, ')') end, ' AND LANGUAGE(english)')"""
-
-
-@query
-def compile_intent(d):
-    """The query string of each intent."""
-    return f"select id, {_compiled(d)} as query from ({INTENTS}) i"
-
-
-@query
-def compile_multi(d):
-    """The full query, one without exclusions, distinct."""
-    return f"select distinct id, query from (select id, {_compiled(d)} as query from ({INTENTS}) i union all select id, {_compiled(d, False)} as query from ({INTENTS}) j) q"
-
-
-@query
-def intent_from_text(d):
-    """Lists, synonyms and years from command-line texts."""
-    pairs = "str_to_map(synonyms, '\\\\|', ':')" if d.name == "spark" else None
-    text = "select p_partkey as id, concat(replace(p_name, ' ', ','), ',', p_brand) as keywords, concat('a:', p_type, ',x|b:', p_brand) as synonyms, case when p_size % 2 = 0 then concat(cast(1990 + p_size as varchar(20)), ',2020') else '1999' end as years from part"
-    a = f"{d.split(f'{d.at(pairs, chr(39) + chr(97) + chr(39))}', ',')}" if pairs else d.split("substr(split_part(synonyms, '|', 1), 3)", ",")
-    b = f"{d.split(f'{d.at(pairs, chr(39) + chr(98) + chr(39))}', ',')}" if pairs else d.split("substr(split_part(synonyms, '|', 2), 3)", ",")
-    years = d.split("years", ",")
-    return f"select id, {d.size(d.split('keywords', ','))} as keywords, {d.join(a, '/')} as synonyms_a, {d.join(b, '/')} as synonyms_b, case when {d.size(years)} = 2 then cast(split_part(years, ',', 1) as int) end as year_from, case when {d.size(years)} = 2 then cast(split_part(years, ',', 2) as int) end as year_to from ({text}) t"
-
-
-@query
-def coverage_query_builder(d):
-    """Each route representative with the first property, and with the first problem unless that repeats a query."""
-    return """with r as (select distinct p_type as route from part), a as (select route, concat(route, ' AND shrinkage') as query, 1 as kind from r), b as (select route, concat(route, ' AND ', case when length(route) % 2 = 0 then 'shrinkage' else 'cracking' end) as query, 2 as kind from r)
-select route, query from a union all select b.route, b.query from b where not exists (select 1 from a where a.query = b.query)"""
-
 
 @query
 def relax_queries(d):
@@ -587,69 +217,18 @@ def cache_lookup(d):
     return "select o_orderkey, o_totalprice from orders where o_custkey = 7"
 
 
-@query
-def session_replay(d):
-    """A session's steps in order."""
-    return "select step, action_type, cost_time from search_log where session_id = 7"
-
-
-@query
-def cost_summary(d):
-    """A2: calls and time by session and kind."""
-    return "select session_id, action_type, count(*) as calls, round(sum(cost_time), 4) as seconds from search_log group by session_id, action_type"
-
-
 @query
 def paper_count(d):
     """Papers."""
     return "select count(*) as papers from papers"
 
 
-def _export(source):
-    return f"select paper_id, title, case when coalesce(year, 0) = 0 then '' else cast(year as varchar(20)) end as year, coalesce(cast(citation_count as varchar(20)), '') as citations, coalesce(doi, '') as doi, venue, '{source}' as source from papers"
-
-
-@query
-def export_rows(d):
-    """K1: the export's columns; year 0 or null and null citations are empty, 0 citations stay."""
-    return _export("scopus")
-
-
-@query
-def export_multi(d):
-    """K2: results one after the other, duplicates kept."""
-    return f"{_export('scopus')} where paper_id % 2 = 0 union all {_export('scopus')} where paper_id % 3 = 0"
-
-
-@query
-def export_scored(d):
-    """K3: the scored export; the abstract's first thousand characters."""
-    return "select paper_id, title, score, category, route, case when score % 10 = 0 then '' else cast(score % 10 as varchar(20)) end as info_gain, substr(abstract, 1, 1000) as abstract from scored"
-
-
 @query
 def html_title_links(d):
     """Title and links of raw pages."""
     return f"""select page_id, trim({d.rx("html", "<title>([^<]*)</title>", 1)}) as title, {d.size(d.rxall("html", '<a href="[^"]*"'))} as links from pages"""
 
 
-@query
-def result_count(d):
-    """The first of several patterns that finds a count, without commas."""
-    t = "select page_id, case page_id % 3 when 0 then concat('1,', cast(100 + page_id as varchar(20)), ' document results') when 1 then concat('of ', cast(page_id as varchar(20)), ' results') else 'nothing' end as body from pages"
-    one, two = d.rx("body", "([0-9,]+) document results", 1), d.rx("body", "of ([0-9,]+) results", 1)
-    return f"select page_id, coalesce(cast(replace(coalesce(nullif({one}, ''), nullif({two}, '')), ',', '') as int), 0) as total from ({t}) t"
-
-
-@query
-def row_to_paper(d):
-    """A source row as a paper: first non-blank alias, lenient numbers, authors cut at commas."""
-    t = "select p_partkey, case when p_partkey % 5 = 0 then ' ' else p_name end as title_en, p_type as title_zh, case when p_size % 3 = 0 then 'n/a' else cast(1980 + p_size as varchar(20)) end as year, concat('Lee T.Y., ', split_part(p_name, ' ', 1), ' C.N.') as authors, case when p_size % 2 = 0 then concat('10.1/', cast(p_size as varchar(20))) end as doi from part"
-    title = f"coalesce(nullif({T.strip(d, 'title_en')}, ''), title_zh)"
-    names = d.map(d.split("authors", ", "), "n", "rtrim(split_part(n, ' ', 1), '.')" if d.name == "duckdb" else "trim(trailing '.' from split_part(n, ' ', 1))")
-    return f"select p_partkey, {title} as title, {d.int('year')} as year, {d.join(names, ';')} as surnames, concat('scopus:', coalesce(doi, substr({title}, 1, 80))) as paper_id from ({t}) t"
-
-
 @query
 def entry_fields(d):
     """Year, pages, DOI and counts out of entry texts."""
