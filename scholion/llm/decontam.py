@@ -14,12 +14,14 @@ Texts are compared with A-Z lower-cased and white space as blanks. Items travel
 broadcast by itself; a task reads its documents once, some HELD bytes at a time, and loads one slice after the other for
 them, so a benchmark of any size needs a bounded table in memory. Documents are read, never shuffled.
 
-Defined cases: null and empty texts or items match nothing; items shorter than `least` bytes are found only as exact
-runs of whole words, which white space, marks and unspaced scripts part; equal items are reported each; repeated documents are reported each; a null doc_id is reported as
-null; an empty table gives no rows; other columns are ignored.
-"""
+Items shorter than `least` bytes match runs of whole words only (white space, marks and unspaced scripts part them; runs of
+blanks are one), with the same allowance. Their search is complete: of allowance + 1 pieces of an item one is free of edits,
+so every place of a document that begins like a piece is a candidate.
 
-import re
+Defined cases: null and empty texts or items match nothing; equal items are reported each; repeated documents are reported
+each; a null doc_id is reported as null; texts of any length are searched whole, some windows at a time; of equally good
+places the first is reported; an empty table gives no rows; other columns are ignored, whatever their names.
+"""
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .spans import LOWER, SPACE, chunks, mix, utf8
+from .spans import LOWER, MARKS, SPACE, chunks, mix, utf8
 from .workspace import per_batch
 
 STEPS, SEED = 48, 20240607
@@ -129,15 +131,36 @@ def best_place(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def whole_words(item: bytes) -> re.Pattern:
-    """The item as a run of whole words: its blanks stand for runs of blanks, and marks and unspaced scripts part words."""
-    text = rb" +".join(re.escape(w) for w in item.split(b" ") if w)
-    wide, letter = rb"[\xe3-\xed]", rb"[0-9a-z\x80-\xff]"  # first bytes of U+3000 to U+DFFF; bytes of other words
-    if re.match(rb"(?!" + wide + rb")" + letter, item):
-        text = rb"(?:(?<!" + letter + rb")|(?<=" + wide + rb"[\x80-\xbf]{2}))" + text
-    if re.search(letter + rb"\Z", item) and not re.search(wide + rb"[\x80-\xbf]{2}\Z", item):
-        text += rb"(?:(?!" + letter + rb")|(?=" + wide + rb"))"
-    return re.compile(text)
+def edges(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a word can start or end at each place of the rows: beside white space and ASCII marks, at a row's ends, and
+    on either side of a character of an unspaced script."""
+    here = np.append(text, 0x20)
+    before = np.concatenate(([0x20], text))
+    wide = (here >= 0xE3) & (here <= 0xED)  # first bytes of U+3000 to U+DFFF
+    after = np.zeros(len(here), bool)
+    after[3:] = wide[:-3]
+    out = MARKS[here] | MARKS[before] | wide | after
+    out[offsets] = True
+    return out & ((here & 0xC0) != 0x80)
+
+
+def from_start(item: bytes, text: bytes):
+    """The edit distances of item to each beginning of text, from the empty one on."""
+    m, mask = len(item), (1 << len(item)) - 1
+    at: dict[int, int] = {}
+    for i, c in enumerate(item):
+        at[c] = at.get(c, 0) | 1 << i
+    top, pv, mv, score = 1 << (m - 1), mask, 0, m
+    yield score
+    for c in text:
+        eq = at.get(c, 0)
+        xh = (((eq & pv) + pv) ^ pv) | eq | mv
+        ph, mh = mv | (~(xh | pv) & mask), pv & xh
+        score += (ph & top > 0) - (mh & top > 0)
+        yield score
+        xv = eq | mv
+        ph, mh = (ph << 1 | 1) & mask, (mh << 1) & mask
+        pv, mv = mh | (~(xv | ph) & mask), ph & xv
 
 
 def all_starts(text: np.ndarray, offsets: np.ndarray, every: bool) -> np.ndarray:
@@ -149,7 +172,6 @@ class Items:
         self.rows = [(i, BLANK[np.frombuffer((x or "").encode(), np.uint8)].tobytes().strip(b" ")) for i, x in rows]
         self.allowed = [int((1 - similarity) * len(x) + 1e-9) for _, x in self.rows]
         self.short = [n for n, (_, x) in enumerate(self.rows) if 0 < len(x) < least]
-        self.forms = {n: (max(self.rows[n][1].split(b" "), key=len), whole_words(self.rows[n][1])) for n in self.short}
         kinds: dict[tuple, list[int]] = {}
         for n, (_, x) in enumerate(self.rows):
             if len(x) >= least:
@@ -161,6 +183,7 @@ class Items:
             plan = self._plan(members)
             self.plans |= dict.fromkeys(members, plan)
         self._index()
+        self._pieces()
         self._blocks()
 
     def _plan(self, members: list[int]) -> tuple[bool, int, int]:
@@ -227,13 +250,61 @@ class Items:
                 table[(k >> np.uint64(64 - bits)).astype(np.int64)] = True
                 self.seen.setdefault((every, r), {})[d] = table
 
+    def _pieces(self):
+        """Of the short items' pieces the first up to four bytes, by their number: (codes in order, items, shifts)."""
+        held: dict[int, list] = {}
+        for n in self.short:
+            x, parts = self.rows[n][1], self.allowed[n] + 1
+            size = min(4, len(x) // parts)
+            for at in range(0, size and len(x) - len(x) // parts + 1, len(x) // parts):
+                held.setdefault(size, []).append((int.from_bytes(x[at : at + size], "big"), n, at))
+        self.pieces = {size: tuple(np.array(c, np.int64) for c in zip(*sorted(parts), strict=True)) for size, parts in held.items()}
+
+    def _short_tries(self, text):
+        """(item, place) pairs of places that begin like a piece of a short item, less its shift, after the first test."""
+        for size, (code, item, shift) in self.pieces.items():
+            if len(text) < size:
+                continue
+            own = np.zeros(len(text) - size + 1, np.uint32)
+            for j in range(size):
+                own = (own << np.uint32(8)) | text[j : len(text) - size + 1 + j]
+            some = np.zeros(1 << 16, bool)  # by the two last bytes
+            some[code & 0xFFFF] = True
+            hits = np.flatnonzero(some[own & 0xFFFF])
+            for a in range(0, len(hits), WINDOWS):
+                w = hits[a : a + WINDOWS]
+                lo, hi = np.searchsorted(code, own[w]), np.searchsorted(code, own[w], "right")
+                w, n, lo = w[hi > lo], (hi - lo)[hi > lo], lo[hi > lo]
+                e = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                pair = np.unique(np.stack([item[e], np.repeat(w, n) - shift[e]]), axis=1) if len(e) else np.zeros((2, 0), np.int64)
+                good = self._near(text, self.first_block[pair[0]], pair[1])
+                yield from zip(pair[0][good].tolist(), pair[1][good].tolist(), strict=True)
+
+    def _found_short(self, text, offsets, out):
+        """Adds to each row the short items that a run of its whole words is within the allowance of."""
+        fresh = np.ones(len(text), bool)
+        fresh[1:] = (text[1:] != 0x20) | (text[:-1] != 0x20)
+        fresh[offsets[:-1][offsets[:-1] < len(text)]] = True
+        place = np.flatnonzero(fresh)
+        flat, ends = text[fresh], np.searchsorted(place, offsets)
+        can = edges(flat, ends)
+        for n, at in sorted(set(self._short_tries(flat))):
+            item, slack = self.rows[n][1], self.allowed[n]
+            row = int(np.searchsorted(ends, max(0, min(at + len(item) // 2, len(flat) - 1)), "right")) - 1
+            lo, hi = int(ends[row]), int(ends[row + 1])
+            for s in range(max(lo, at - slack), min(hi, at + slack) + 1):
+                if can[s]:
+                    for j, d in enumerate(from_start(item, flat[s : min(hi, s + len(item) + slack)].tobytes())):
+                        if j and can[s + j] and d <= slack and (n not in out[row] or d < out[row][n][0]):
+                            out[row][n] = (d, int(place[s] - offsets[row]), int(place[s + j - 1] + 1 - offsets[row]))
+
     def _blocks(self):
         """Stretches of 64 bytes of the items, for a first test of candidates, as bit masks by the low five bits of a byte.
 
         A stretch around a shared key in a copy holds more than the limit of edits only if they crowd there, and then
         the keys of other stretches are more. For items of up to 64 bytes the test is exact but for equal low bits."""
         self.block_of, starts, sizes, limits, masks = {}, [], [], [], []
-        for n in self.plans:
+        for n in [*self.plans, *self.short]:
             x, slack = np.frombuffer(self.rows[n][1], np.uint8), self.allowed[n]
             m = min(64, len(x))
             rate = slack / len(x)
@@ -330,13 +401,8 @@ class Items:
                 begin = self._begin(item, text[lo : lo + end].tobytes())
                 base = int(offsets[row])
                 out[row][n] = (distance, lo + begin - base, lo + end - base)
-        for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if self.short else ()):
-            whole = text[a:b].tobytes()
-            for n in self.short:
-                word, form = self.forms[n]
-                at = form.search(whole) if word in whole else None
-                if at:
-                    out[row][n] = (0, *at.span())
+        if self.short and len(text):
+            self._found_short(text, offsets, out)
         return [[(n, *x) for n, x in sorted(o.items())] for o in out]
 
     @staticmethod
