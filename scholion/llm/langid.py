@@ -161,9 +161,9 @@ def predict(df: DataFrame, fold: int = 4, held: int = 2, size: int = 300, doc: s
     return per_batch(rows, run, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, lang_pred string, score double, distance double")
 
 
-def limits(df: DataFrame, learnt, hold, examples: int, spread: float, most: float, size: int, doc: str, text: str, lang: str) -> dict[str, float]:
+def limits(df: DataFrame, learnt, hold, examples: int, spread: float, least: float, most: float, size: int, doc: str, text: str, lang: str) -> dict[str, float]:
     """The distance up to which a text counts as one of a language: `spread` standard deviations above the mean of at most
-    `examples` of its training rows, and `most` at the largest."""
+    `examples` of its training rows, from `least` to `most`."""
     names, known, places = learnt
     drawn = F.broadcast(sample(df.select(doc, lang), lang, examples, doc).select(F.col(doc).alias("doc"), F.col(lang).alias("lang")))
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(drawn, "doc").select("doc", "text", "lang")
@@ -181,10 +181,10 @@ def limits(df: DataFrame, learnt, hold, examples: int, spread: float, most: floa
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([x[i] for x in sums.values()], pa.float64()) for i in range(3))], names=["lang", "n", "one", "two"])
 
     got = per_batch(rows, run, "lang string, n double, one double, two double").groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n", "one", "two"))).collect()  # a row a language
-    return {r.lang: min(most, r.one / r.n + spread * max(0.0, r.two / r.n - (r.one / r.n) ** 2) ** 0.5) for r in got}
+    return {r.lang: min(most, max(least, r.one / r.n + spread * max(0.0, r.two / r.n - (r.one / r.n) ** 2) ** 0.5)) for r in got}
 
 
-def keep(df: DataFrame, most: float = 0.95, spread: float = 5.0, examples: int = 2000, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep(df: DataFrame, least: float = 0.78, most: float = 0.95, spread: float = 5.0, examples: int = 2000, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """df without the rows that have no language: `und`, or farther from the nearest profile than its language's own texts
     are (see limits()); nothing is shuffled."""
 
@@ -192,7 +192,7 @@ def keep(df: DataFrame, most: float = 0.95, spread: float = 5.0, examples: int =
         return folds(ids, fold) == held
 
     names, known, places = _table(profiles(df, hold, size, doc, text, lang), size)
-    far = limits(df, (names, known, places), hold, examples, spread, most, size, doc, text, lang) if names else {}
+    far = limits(df, (names, known, places), hold, examples, spread, least, most, size, doc, text, lang) if names else {}
     at = df.columns.index(text)
 
     def run(batches):

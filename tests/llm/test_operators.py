@@ -60,6 +60,26 @@ def test_warc_archive_form_and_faults():
     assert all(warc.page_id(warc.record_id(i)) == i for i in (0, 1, -1, 2**63 - 1, -(2**63), None))
 
 
+def test_warc_reading_goes_on_behind_damage():
+    records = [warc.record("response", warc.record_id(i), "u", "1970-01-01T00:00:00Z", b"<p>%d</p>" % i * 50, None) for i in range(100)]
+    whole = warc.archive(records)
+    places = [at for at, _, _ in warc.frames(pa.py_buffer(whole))]
+    for damage in (b"\0" * 12, b"\xff"):  # the frame's magic and header; a byte within it
+        bad = bytearray(whole)
+        at = places[10] + (0 if len(damage) > 1 else 30)
+        bad[at : at + len(damage)] = damage
+        got = list(warc.frames(pa.py_buffer(bytes(bad))))
+        assert [f for _, f, e in got if e is None] == records[:10] + records[11:] and sum(e is not None for _, _, e in got) == 1
+    cut = whole[: places[50] + 9] + whole[places[51] :]  # a frame that ends too soon
+    got = list(warc.frames(pa.py_buffer(cut)))
+    assert [f for _, f, e in got if e is None] == records[:50] + records[51:] and sum(e is not None for _, _, e in got) == 1
+    assert [e is None for _, _, e in warc.frames(pa.py_buffer(b"nothing of the kind"))] == [False] and not list(warc.frames(pa.py_buffer(b"")))
+    twice = records[0].replace(b"WARC-Date", b"WARC-Type: revisit\r\nWARC-Date", 1)
+    assert "repeated warc-type" in warc.parse(twice)["error"]
+    again = records[0].replace(b"WARC-Date", b"WARC-Concurrent-To: a\r\nWARC-Concurrent-To: b\r\nWARC-Date", 1)
+    assert warc.parse(again)["error"] is None
+
+
 # ---- quality, toxicity, language
 
 
@@ -455,6 +475,10 @@ def test_top_products_against_brute_force(spark):
         if i % 50 == 0:
             order = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(w) == len(v)))[:5]
             want += [(i, n, j, -s) for n, (s, j) in enumerate(order, 1)]
+    with pytest.raises(Exception, match="too large"):
+        topk.top(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id bigint, embedding array<float>")).collect()
+    many = spark.createDataFrame([(0, [1.0, 0.0])] * 3 + [(7, [2.0, 1.0])] * 400 + [(8, [3.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert [(r.rank, r.vec_id) for r in topk.top(many, block=64).orderBy("rank").collect()] == [(1, 8)] + [(n, 7) for n in (2, 3, 4, 5)]
     for block in (64, 8192):
         got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top(d, block=block, group=3).collect())
         assert got == sorted(want)
