@@ -81,13 +81,6 @@ def cross_dim_dedup(d):
     return f"""select rec, dim, term from (select rec, dim, term, row_number() over (partition by rec, lower({T.strip(d, "term")}) order by dim, pos) as n from terms) x where n = 1"""
 
 
-@query
-def route_union(d):
-    """U8: two passes of routes, equal after lower case without hyphens and blanks."""
-    return f"""with u as (select 1 as pass, p_partkey as pos, p_type as route from part where p_partkey % 2 = 0 union all select 2 as pass, p_partkey as pos, replace(lower(p_type), ' ', '-') as route from part)
-select route, pass, pos from (select *, row_number() over (partition by replace(replace({T.strip(d, "lower(route)")}, '-', ''), ' ', '') order by pass, pos) as n from u) x where n = 1"""
-
-
 @query
 def distinct_queries(d):
     """Distinct texts."""
@@ -240,9 +233,3 @@ def entry_fields(d):
 def domain_context(d):
     """A domain's context, the default for unknown ones."""
     return "select n_name as domain, coalesce(case n_name when 'FRANCE' then 'optics' when 'CHINA' then 'motors' end, 'photocuring') as context from nation"
-
-
-@query
-def canonical_lookup(d):
-    """Raw to canonical, itself where there is none."""
-    return "select distinct p_type as raw, coalesce(m.canonical, p_type) as canonical from part left join (select distinct p_type as k, lower(p_type) as canonical from part where p_size < 5) m on m.k = p_type"

@@ -377,3 +377,11 @@ def knowledge_json():
     """Knowledge records out of their JSON and back."""
     again = f"select p_partkey, {record_of('again')} as r from (select p_partkey, to_json(r) as again from (select p_partkey, {record_of('record')} as r from ({LEARNT})))"
     return f"select p_partkey, r.paper_id, array_join(r.materials, ',') as materials, array_join(transform(r.physical_mechanisms, m -> concat_ws('|', m.cause, m.mechanism, m.effect)), ';') as mechanisms, array_join(flatten(transform(r.search_hypotheses, h -> h.queries)), ',') as queries, r.extractor_version, r.confidence from ({again})"
+
+
+@pair("""with u as (select 1 as pass, p_partkey as pos, p_type as route from part union all select 2, 2 * p_partkey, replace(lower(p_type), ' ', '-') from part union all select 2, 2 * p_partkey + 1, ' ' || p_brand from part)
+select arg_min(route, (pass, pos)) as route, arg_min(pass, (pass, pos)) as pass, arg_min(pos, (pass, pos)) as pos from (select *, regexp_replace(lower(trim(route)), '[- ]', '', 'g') as k from u) group by k""")
+def route_union():
+    """U8: two passes of routes, equal after lower case without hyphens and blanks; the first stays."""
+    return """with u as (select 1 as pass, p_partkey as pos, p_type as route from part union all select 2, 2 * p_partkey, replace(lower(p_type), ' ', '-') from part union all select 2, 2 * p_partkey + 1, concat(' ', p_brand) from part)
+select f.route, f.pass, f.pos from (select min(struct(pass, pos, route)) as f from u group by translate(lower(trim(route)), '- ', ''))"""

@@ -8,6 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from scholion import engine
 from scholion.functions import text as T
 from scholion.operators import assist, bfs, judge, loop, mmr, parsing, recovery
 from scholion.operators.numbering import numbered
@@ -284,6 +285,29 @@ def test_files(spark, tmp_path):
     assert json.loads(next((tmp_path / "m").glob("part-*")).read_text())["queries"] == [{"round": 1, "qid": "cov_0", "query": "q", "strategy": "coverage"}]
 
 
+def test_engine(spark, tmp_path):
+    papers = spark.createDataFrame([(i, f"thiol resin {i}", 2000 + i, None, None, i, "J") for i in range(30)], "paper_id bigint, title string, year int, abstract string, doi string, citation_count int, venue string")
+    e = engine.Engine(spark, papers, str(tmp_path / "store"))
+    got = e.search("thiol AND resin", 20, (2005, 2026))
+    assert [r.paper_id for r in got.orderBy("place").collect()] == [str(i) for i in range(26, 6, -1)] and e.total_count == 22
+    assert e.search("thiol AND resin", 20, (2005, 2026)).count() == 20 and e.cost["queries"] == 1  # from the cache
+    assert e.search("thiol AND resin", 5, (2005, 2026)).count() == 5 and e.cost["queries"] == 2  # another limit
+    assert e.search("glass").count() == 0 and e.cost["queries"] == 2 and e.total_count == 0
+    log = e.session_log().collect()
+    assert [(r.step, r.action_type, r.result_count) for r in log] == [(1, "search", 20), (2, "search", 5)] and log[1].result_ids == ["26", "25", "24", "23", "22"]
+    e.record("detail", 2.0)
+    assert e.get_cost_summary()["api_calls_by_type"] == {"search": 2, "detail": 1} and e.get_cost_summary()["detail_pages_visited"] == 1
+    e.reset_cost()
+    assert e.cost["queries"] == 0 and e.session_id != e.new_session()
+    assert e.compile(keywords=["light-curing"], year_from=2020) == 'TITLE-ABS-KEY("light-curing") AND PUBYEAR > 2019 AND LANGUAGE(english)'
+    assert e.search_by_intent(keywords=["thiol"], year_to=2003).count() == 4
+    e.to_csv_multi([got, got], str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 40
+    asked = spark.createDataFrame([("u", {"b": "2", "a": "1"}), ("u", None)], "url string, params map<string, string>")
+    recorded = spark.createDataFrame([('u?{"a": "1", "b": "2"}', "x")], "key string, response string")
+    assert sorted(r.response for r in engine.replayed(asked, recorded).collect()) == ["x", "{}"]
+
+
 def test_stream(spark, sf, tmp_path):
     whole = spark.read.parquet(f"{sf}/events.parquet")
     batch = windowed_cost(whole)
