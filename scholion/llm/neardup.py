@@ -172,7 +172,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("to"))
+        # a component's root has many pointers: tables on either side of a join let adaptive execution split such a key
+        nearest = table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("to")), "nearest")
+        up = nearest
         for _ in range(2):  # follow the pointers
             far = up.select(F.col("label").alias("to"), F.col("to").alias("further"))
             up = up.join(far, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
@@ -180,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels, was = table(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), labels
         ends = edges.join(up.withColumnsRenamed({"label": "a", "to": "x"}), "a").join(up.withColumnsRenamed({"label": "b", "to": "y"}), "b")
         edges, last = table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "edges"), edges
-        drop(up, was, last)
+        drop(nearest, up, was, last)
     return labels
 
 
@@ -279,7 +281,7 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
         labels = components(links.unionByName(more))
 
     grouped = labels.join(classes.select(F.col("cid").alias("node"), "keeper"), "node")
-    least = grouped.groupBy("label").agg(F.min("keeper").alias("least"))
+    least = table(grouped.groupBy("label").agg(F.min("keeper").alias("least")), "least")
     linked = grouped.join(least, "label").select(F.col("node").alias("cid"), "least")
     named = table(classes.join(linked, "cid", "left").select("cid", F.coalesce("least", "keeper").alias("component_id")), "named")
     out = each.select(doc, "n", "cid").join(named, "cid", "left")
