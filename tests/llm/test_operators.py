@@ -307,21 +307,25 @@ def test_decontamination_against_brute_force(spark):
     assert {k for k in got} == {(r.doc_id, r.item_id) for r in decontam.matches(d, b, slice_bytes=300).collect()}
 
 
-@pytest.mark.parametrize(("low", "high"), [(32, 48), (49, 100), (101, 200)])
+@pytest.mark.parametrize(("low", "high"), [(32, 48), (49, 100), (101, 200), (201, 260)])
 def test_decontamination_recall_up_to_the_allowance(low, high):
+    """Recall against exact search for every share of edits, by length of the items."""
     rnd, rng = random.Random(7), np.random.default_rng(7)
     text = lambda n: " ".join("".join(rnd.choice("abcdeilnorst") for _ in range(rnd.randint(2, 8))) for _ in range(n))
-    items = decontam.Items([(i, text(60)[: rnd.randint(low, high)].strip().ljust(low, "e")) for i in range(60)], 0.8, 32)
+    items = decontam.Items([(i, text(70)[: rnd.randint(low, high)].strip().ljust(low, "e")) for i in range(60)], 0.8, 32)
     rows, of = [], []
     for n, (_, x) in enumerate(items.rows):
-        for share in (0.16, 0.18, 0.2) * 3:
+        for share in (0.08, 0.12, 0.16, 0.19, 0.2) * 3:
             copy = decontam.edited(np.frombuffer(x, np.uint8), int(share * len(x) + 1e-9), rng).tobytes()
             rows.append(text(10).encode() + b" " + copy + b" " + text(10).encode())
-            of.append(n)
+            of.append((n, share))
     got = items.found(*spans.utf8(pa.array(rows, pa.binary())))
-    want = [decontam.best_place(items.rows[n][1], x)[0] for n, x in zip(of, rows, strict=True)]
-    held = [any(g[:2] == (n, d) for g in f) for n, d, f in zip(of, want, got, strict=True) if d <= items.allowed[n]]
-    assert len(held) > 500 and sum(held) >= 0.9 * len(held)
+    cells = defaultdict(list)
+    for (n, share), row, found in zip(of, rows, got, strict=True):
+        d = decontam.best_place(items.rows[n][1], row)[0]
+        if d <= items.allowed[n]:
+            cells[share].append(any(g[:2] == (n, d) for g in found))
+    assert len(cells) == 5 and all(len(c) > 100 and sum(c) >= 0.9 * len(c) for c in cells.values()), {k: sum(c) / len(c) for k, c in cells.items()}
     assert all(g[1] <= items.allowed[g[0]] for f in got for g in f)
 
 
