@@ -155,14 +155,14 @@ r as (select a.*, coalesce(relevant, 0) as relevant from a left join u on u.arm
 select arm, budget, limited, budget - limited as evaluable, useful, relevant, round(relevant / cast(budget as double), 6) as per_query, valid, case when valid then sum(if(arm = 'knowledge', relevant, -relevant)) over () end as gain from v"""
 
 
-@pair(f"""with m as (select query, qid from manifest where run = 0)
+@pair(f"""with m as (select query, qid from manifest)
 select k.route, coalesce(sum(c.weight), 0) as weight, count(c.route) = 0 as blind from (select distinct route, word from {D_KEYS}) k left join (select lower(p_type) || ' ' || lower(split_part(query, ' AND ', 1)) as route, count(*) as weight from m join part on p_partkey = qid group by 1) c on contains(c.route, k.word) group by k.route""")
 def blind_spots():
     """Benchmark routes that no learnt route has a key word of, and the weights of those that have, by key word."""
     words = [(r, w) for r, ws in T.ROUTE_KEYWORDS.items() for w in ws]
     sums = ", ".join(f"sum(if(contains(route, '{w}'), weight, 0)) as w{i}" for i, (_, w) in enumerate(words))
     rows = ", ".join(f"'{r}', w{i}" for i, (r, _) in enumerate(words))
-    return f"""with c as (select concat(lower(p_type), ' ', lower(split_part(query, ' AND ', 1))) as route, count(*) as weight from manifest join part on p_partkey = qid where run = 0 group by 1)
+    return f"""with c as (select concat(lower(p_type), ' ', lower(split_part(query, ' AND ', 1))) as route, count(*) as weight from manifest join part on p_partkey = qid group by 1)
 select route, sum(weight) as weight, sum(weight) = 0 as blind from (select stack({len(words)}, {rows}) as (route, weight) from (select {sums} from c)) group by route"""
 
 

@@ -122,13 +122,13 @@ select route, runs, runs = n as in_all, count_if(runs = n) over () as common, co
 D_FAMILY = "(select lower(r_name) as family, lower(n_name) as route from nation join region on r_regionkey = n_regionkey union select lower(r_name), lower(r_name) from region)"
 
 
-@pair(f"""with raw as (select distinct c_custkey % 5 as run, n_name as route from customer join nation on n_nationkey = c_nationkey where not (c_custkey % 5 = 4 and n_regionkey = 2)),
+@pair(f"""with raw as (select distinct c_custkey % 5 as run, case when c_custkey % 5 = 4 and n_regionkey = 2 then 'unheard of' else n_name end as route from customer join nation on n_nationkey = c_nationkey),
 c as (select family, count(distinct run) as runs from raw join {D_FAMILY} f on f.route = lower(raw.route) group by family)
 select family, runs, runs = 5 as backbone, sum(cast(runs = 5 as int)) over () >= 4 as stable from c""")
 def family_backbone():
     """Runs whose raw routes reach each family; four families or more in every run are a stable backbone."""
     return """with m as (select distinct lower(r_name) as family, explode(array(lower(n_name), lower(r_name))) as route from nation join region on r_regionkey = n_regionkey),
-raw as (select distinct c_custkey % 5 as run, lower(n_name) as route from customer join nation on n_nationkey = c_nationkey where not (c_custkey % 5 = 4 and n_regionkey = 2)),
+raw as (select distinct c_custkey % 5 as run, if(c_custkey % 5 = 4 and n_regionkey = 2, 'unheard of', lower(n_name)) as route from customer join nation on n_nationkey = c_nationkey),
 c as (select family, count(distinct run) as runs from raw join m on m.route = raw.route group by family)
 select family, runs, runs = 5 as backbone, count_if(runs = 5) over () >= 4 as stable from c"""
 

@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from scholion import engine
+from scholion.__main__ import main
 from scholion.functions import text as T
 from scholion.operators import assist, bfs, judge, loop, mmr, parsing, recovery
 from scholion.operators.numbering import numbered
@@ -308,6 +309,13 @@ def test_engine(spark, tmp_path):
     assert sorted(r.response for r in engine.replayed(asked, recorded).collect()) == ["x", "{}"]
 
 
+def test_command_line(spark, sf, tmp_path):
+    assert main(["compile", "--keywords", "a, light-curing", "--synonyms", "a:b, c|d:e", "--years", "2000,2005", "--exclude", "x"], spark) == ['TITLE-ABS-KEY(((a OR b OR c) AND "light-curing") AND NOT (x)) AND PUBYEAR > 1999 AND PUBYEAR < 2006 AND LANGUAGE(english)']
+    assert main(["run", "paper_count", sf], spark) == ["{'papers': 200}"]
+    spark.createDataFrame([(1, "glass resin", 2001, None, None, 3, "J")], "paper_id bigint, title string, year int, abstract string, doi string, citation_count int, venue string").write.parquet(str(tmp_path / "p"))
+    assert main(["search", "resin", "--papers", str(tmp_path / "p"), "--store", str(tmp_path / "s"), "--years", "2000,"], spark) == ["1 found", "1. glass resin (2001)"]
+
+
 def test_stream(spark, sf, tmp_path):
     whole = spark.read.parquet(f"{sf}/events.parquet")
     batch = windowed_cost(whole)
