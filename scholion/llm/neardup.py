@@ -168,20 +168,20 @@ def signatures(docs: DataFrame, k: int, t: int, limit: int, frequent, clash, tex
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is one node of the component; nodes of edges (a, b) only."""
-    edges = table(edges.select("a", "b").where("a != b").distinct(), "edges")
+    edges = table(edges.select("a", "b").where("a != b").distinct(), "edges", few=True)
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # a component's root has many pointers: tables on either side of a join let adaptive execution split such a key
-        nearest = table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("to")), "nearest")
+        nearest = table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("to")), "nearest", few=True)
         up = nearest
         for _ in range(2):  # follow the pointers
             far = up.select(F.col("label").alias("to"), F.col("to").alias("further"))
             up = up.join(far, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
-        up = table(up, "pointers")
-        labels, was = table(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), labels
+        up = table(up, "pointers", few=True)
+        labels, was = table(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels", few=True), labels
         ends = edges.join(up.withColumnsRenamed({"label": "a", "to": "x"}), "a").join(up.withColumnsRenamed({"label": "b", "to": "y"}), "b")
-        edges, last = table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "edges"), edges
+        edges, last = table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "edges", few=True), edges
         drop(nearest, up, was, last)
     return labels
 
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: i
     kind = docs.schema[doc].dataType.simpleString()
     likely = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(na, nb) >= {t} * greatest(na, nb) and ka is not null and kb is not null")
     likely = table(per_batch(likely.select("a", "b", "na", "nb", "sa", "sb", "ka", "kb"), bounded, f"a bigint, b bigint, ka {kind}, kb {kind}"), "likely")
-    ids_table = table(likely.select(F.explode(F.array("ka", "kb")).alias(doc)).distinct(), "likely_ids")
+    ids_table = table(likely.select(F.explode(F.array("ka", "kb")).alias(doc)).distinct(), "likely_ids", few=True)
     ids = F.broadcast(ids_table) if ids_table.count() <= BROADCAST_IDS else ids_table
 
     def whole(batches):
@@ -281,7 +281,7 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, frequent_from: int = 64, freq
         labels = components(links.unionByName(more))
 
     grouped = labels.join(classes.select(F.col("cid").alias("node"), "keeper"), "node")
-    least = table(grouped.groupBy("label").agg(F.min("keeper").alias("least")), "least")
+    least = table(grouped.groupBy("label").agg(F.min("keeper").alias("least")), "least", few=True)
     linked = grouped.join(least, "label").select(F.col("node").alias("cid"), "least")
     named = table(classes.join(linked, "cid", "left").select("cid", F.coalesce("least", "keeper").alias("component_id")), "named")
     out = each.select(doc, "n", "cid").join(named, "cid", "left")

@@ -36,15 +36,15 @@ def remove(spark: SparkSession, at: str) -> None:
         pass
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and is computed once.
 
-    It has no more files than twice the cores, or an eighth of the shuffle partitions if that is more: a table of few rows
-    in thousands of files costs more than its rows. The folder goes when the program ends, or before that by drop()."""
+    few: a table of a few numbers a row has at most an eighth of the shuffle partitions as files, but two for each core at
+    least. The folder goes when the program ends, or before that by drop()."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}"
     files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    df.coalesce(files).write.parquet(at)
+    (df.coalesce(files) if few else df).write.parquet(at)
     _kept[at] = weakref.ref(spark)
     out = spark.read.schema(df.schema).parquet(at)
     out._scholion_at = at
