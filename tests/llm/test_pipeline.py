@@ -11,7 +11,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from scholion.llm import bpe, langid, quality  # noqa: E402
+from scholion.llm import bpe, langid, quality, spans  # noqa: E402
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 LANGUAGES = {"en": "the cat sat with that thing and other words near some house", "de": "der hund und die katze gehen schnell über straße nach hause", "fr": "le chat est dans la maison avec les autres mots où il dort"}
@@ -161,6 +161,39 @@ def test_quality_gradient_and_optimum():
         assert abs(loss(*up) - loss(*down)) / (2 * h) < 2e-2
 
 
+def _features(text):
+    """A text's features by plain string operations: words and shapes by their share, statistics by half."""
+    kind = lambda c: 0 if c >= 128 or 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3
+    room = (1 << quality.BITS) - 1
+    out = defaultdict(float)
+    found = [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", text or "")]
+    for w in found:
+        out[int(spans.hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0]) & room] += 1 / len(found)
+        shape = kind(w[0]) + 4 * kind(w[min(1, len(w) - 1)]) + 16 * kind(w[max(len(w) - 2, 0)]) + 64 * kind(w[-1]) + 256 * min(len(w), 24) + (1 << 40)
+        out[int(spans.mix(np.array([shape], np.uint64))[0]) & room] += 1 / len(found)
+    n, whole = len(found), b"".join(found)
+    stats = [(5, 0)]
+    if n:
+        same = sum(a == b for a, b in zip(found, found[1:]))
+        stats = [(1, n.bit_length(), int(len(set(found)) / n * 12)), (2, int(same / n * 10)), (3, int(sum(kind(c) == 1 for c in whole) / len(whole) * 12)), (4, int(sum(kind(c) == 3 for c in whole) / len(whole) * 24)), (5, n.bit_length()), (6, int(min(len(whole) / n, 30)))]
+    for t in stats:
+        out[int(spans.mix(np.array([sum((x + 1) * 131**i for i, x in enumerate(t)) + (1 << 50)], np.uint64))[0]) & room] += 0.5
+    return out
+
+
+def test_quality_scores_against_plain_features(spark, folder, stages):
+    docs = stages["quality"][0]
+    ratings = quality.graded(spark.read.parquet(f"{folder}/labels.parquet"))
+    kinds, w, t = quality.fit(docs, ratings, 5, 0, 1500, 1 << 18, "doc_id", "text", "grade")
+    want = Counter()
+    for r in docs.collect():
+        z = sum(w[i] * v for i, v in _features(r.text).items())
+        tails = [1 / (1 + np.exp(-np.clip(z - x, -40, 40))) for x in t]
+        want[r.doc_id, tuple(round(float(x), 7) for x in tails), bool(tails[0] >= 0.5), round(float(kinds[0] + sum(x * (b - a) for x, a, b in zip(tails, kinds, kinds[1:]))), 7)] += 1
+    got = Counter((r.doc_id, tuple(round(x, 7) for x in r.tails), r.kept, round(r.expected_grade, 7)) for r in quality.score(docs, ratings).collect())
+    assert got == want
+
+
 def test_quality_stage_against_scores(spark, folder, stages):
     docs, _, kept = stages["quality"]
     scores = quality.score(docs, quality.graded(spark.read.parquet(f"{folder}/labels.parquet"))).collect()
