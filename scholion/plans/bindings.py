@@ -24,7 +24,7 @@ from papers p join labels l on l.doc_id = p.paper_id""",
     "cites": """select distinct l_partkey as src, (l_orderkey * 7 + l_linenumber) % n as dst
 from lineitem cross join (select count(*) as n from part) where l_partkey <> (l_orderkey * 7 + l_linenumber) % n""",
     "query_hits": "select l_suppkey as qid, l_partkey as paper_id, l_orderkey * 10 + l_linenumber as seq, cast(l_quantity * 2 as int) as score from lineitem",
-    "search_log": "select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) as step, event_type as action_type, value as cost_time, concat('[\"', cast(event_id as varchar(20)), '\", \"', event_type, '\"]') as result_ids from events",
+    "search_log": "select user_id as session_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as step, event_type as action_type, value as cost_time, concat('[\"', cast(event_id as varchar(20)), '\", \"', event_type, '\"]') as result_ids from events",
     "gold": f"""select item_id, concat('10.1000/doc.', cast(item_id * 7 % 700 as varchar(20))) as doi, case when item_id % 5 <> 0 and p.title is not null then p.title else substr(split_part(text, chr(10), 1), 1, 120) end as title,
   {ROUTE_OF.format("item_id")} as route, item_id % 3 <> 0 as must_hit, cast(case when item_id % 10 = 9 then null else 1996 + item_id % 29 end as int) as year from benchmark left join papers p on p.paper_id = item_id * 7 % 700""",
     "decisions": "select paper_id, case length(title) % 4 when 0 then 'IRRELEVANT' when 1 then 'RELEVANT' else 'UNCERTAIN' end as decision from papers",
