@@ -300,11 +300,13 @@ m as (select distinct query, word, paper_id, citation_count from w join p using
 select query, paper_id, cast(0 as int) as depth, cast(count(*) over (partition by query) as bigint) as total_hits from h qualify row_number() over (partition by query order by citation_count desc, paper_id) <= 50""")
 def keyword_recall():
     """Papers before 2015 whose title has all words of a query, the fifty most cited of each, marked depth 0, with
-    the number there are. Titles of under 60 letters give the queries: their first two words."""
+    the number there are. Papers and queries meet by a query's rarest word. Titles of under 60 letters give the queries: their
+    first two words."""
     words = "array_distinct(regexp_extract_all(lower({}), '[^ -/:-@\\\\[-`\\\\{{-~]+', 0))"
-    return f"""with p as (select paper_id, citation_count, explode({words.format("title")}) as word from papers where year < 2015), q as (select distinct concat(split_part(lower(title), ' ', 1), ' ', split_part(lower(title), ' ', 2)) as query from papers where length(title) < 60),
-w as (select query, size(words) as words, explode(words) as word from (select query, {words.format("query")} as words from q)), h as (select query, paper_id, first(citation_count) as citation_count from w join p on p.word = w.word group by query, paper_id, words having count(*) = words),
-t as (select query, count(*) as total_hits from h group by query)
+    return f"""with p as (select paper_id, citation_count, {words.format("title")} as words from papers where year < 2015), w as (select *, explode(words) as word from p), f as (select word, count(*) as n from w group by word),
+q as (select query, {words.format("query")} as words from (select distinct concat(split_part(lower(title), ' ', 1), ' ', split_part(lower(title), ' ', 2)) as query from papers where length(title) < 60)),
+r as (select query, words, min_by(q.word, struct(coalesce(n, 0), q.word)) as word from (select *, explode(words) as word from q) q left join f on f.word = q.word group by query, words),
+h as (select query, paper_id, citation_count from r join w on w.word = r.word where forall(r.words, x -> array_contains(w.words, x))), t as (select query, count(*) as total_hits from h group by query)
 select h.query, h.paper_id, cast(0 as int) as depth, total_hits from (select *, row_number() over (partition by query order by citation_count desc, paper_id) as n from h) h join t on t.query = h.query where n <= 50"""
 
 
