@@ -43,7 +43,7 @@ TEXTS = {
     "historical_queries": f"with c as (select distinct term, {_canonical('term')} as ckey from (select distinct term from terms)), t as (select ckey, rec, {_PRIO} as prio, pos, t.term from terms t join c on c.term = t.term where ckey <> '') select arg_min(rec, (rec, prio, pos)) as rec, arg_min(term, (rec, prio, pos)) as term, '\"' || arg_min(term, (rec, prio, pos)) || '\" AND \"polymerization shrinkage\"' as query from t group by ckey",
     "canonicalize": f"select term, {_canonical('term')} as ckey from (select p_type as term from part union select p_name from part union select 'thiol-ene polymerizations' union select 'polymerization' union select ' \"Glass\" ')",
     "tokenize_stem": f"select distinct paper_id, case {_CUT} else w end as stem from (select paper_id, unnest(string_split_regex(lower(abstract), '[^a-z0-9-]+')) as w from papers) where length(w) > 2 and w not in ({_STOPS})",
-    "relax_queries": f"""with q as ({_RELAX}), c as (select id, query, c, row_number() over (partition by id) as i, {_IS_ANCHOR} as anchor from (select id, query, unnest(string_split(query, ' AND ')) as c from q)),
+    "relax_queries": f"""with q as ({_RELAX}), c as (select id, query, c, i, {_IS_ANCHOR} as anchor from (select id, query, unnest(string_split(query, ' AND ')) as c, generate_subscripts(string_split(query, ' AND '), 1) as i from q)),
 o as (select *, count(*) over (partition by id) as n, count(*) filter (anchor) over (partition by id) as anchors, row_number() over (partition by id, anchor order by i) as place from c), k as (select unnest(range(1, 4)) as less)
 select distinct id, query, string_agg(c, ' AND ' order by anchor, i) as relaxed from o, k where n > 2 and anchors > 0 and n - anchors > 1 and n - anchors - less >= 1 and (anchor or place <= n - anchors - less) group by id, query, less""",
     "cache_key": "select p_partkey, left(sha256(lower(p_name)), 16) as query_hash from part",
