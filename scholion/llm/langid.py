@@ -161,20 +161,23 @@ def predict(df: DataFrame, fold: int = 4, held: int = 2, size: int = 300, doc: s
     return per_batch(rows, run, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, held_out boolean, lang_pred string, score double, distance double")
 
 
-def limits(df: DataFrame, learnt, hold, examples: int, spread: float, least: float, most: float, size: int, doc: str, text: str, lang: str) -> dict[str, float]:
-    """The distance up to which a text counts as one of a language: `spread` standard deviations above the mean of at most
-    `examples` of its training rows, from `least` to `most`."""
+def limits(df: DataFrame, learnt, hold, examples: int | None, spread: float, least: float, most: float, size: int, doc: str, text: str, lang: str) -> dict[str, float]:
+    """The distance up to which a text counts as one of a language: `spread` standard deviations above the mean of all its
+    training rows, or of at most `examples` of them if that is given, from `least` to `most`."""
     names, known, places = learnt
-    drawn = F.broadcast(sample(df.select(doc, lang), lang, examples, doc).select(F.col(doc).alias("doc"), F.col(lang).alias("lang")))
-    rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(drawn, "doc").select("doc", "text", "lang")
+    rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    if examples:
+        rows = rows.drop("lang").join(F.broadcast(sample(df.select(doc, lang), lang, examples, doc).select(F.col(doc).alias("doc"), F.col(lang).alias("lang"))), "doc")
 
     def run(batches):
         sums = {}
         for batch in batches:
-            teach, own = ~hold(batch.column(0).to_pylist()), batch.column(2).to_pylist()
+            teach = ~hold(batch.column(0).to_pylist()) & np.array([x in names for x in batch.column(2).to_pylist()], bool)
+            batch = batch.filter(pa.array(teach))
+            own = batch.column(2).to_pylist()
             buf, offsets = utf8(batch.column(1))
             for i, found in enumerate(f for _, _, b, o in chunks(buf, offsets) for f in counted(b, o)):
-                if teach[i] and own[i] in names and len(found[0]):
+                if len(found[0]):
                     far = judged(*found, names, known, places, size)[3][names.index(own[i])]
                     n, one, two = sums.get(own[i], (0, 0.0, 0.0))
                     sums[own[i]] = n + 1, one + far, two + far * far
@@ -184,7 +187,7 @@ def limits(df: DataFrame, learnt, hold, examples: int, spread: float, least: flo
     return {r.lang: min(most, max(least, r.one / r.n + spread * max(0.0, r.two / r.n - (r.one / r.n) ** 2) ** 0.5)) for r in got}
 
 
-def keep(df: DataFrame, least: float = 0.78, most: float = 0.95, spread: float = 5.0, examples: int = 2000, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep(df: DataFrame, least: float = 0.78, most: float = 0.95, spread: float = 5.0, examples: int | None = None, fold: int = 4, held: int = 2, size: int = 300, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """df without the rows that have no language: `und`, or farther from the nearest profile than its language's own texts
     are (see limits()); nothing is shuffled."""
 

@@ -203,6 +203,46 @@ def test_quality_stage_against_scores(spark, folder, stages):
     assert np.mean([(ids[r.doc_id] > 0) == (r.doc_id % 6 != 0) for r in plain]) > 0.97
 
 
+def _many(spark, n=4500):
+    """(documents, ratings): more rows of each grade and language than a bounded sample held."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(LANGUAGES["de" if i % 3 else "fr"].split()) + rnd.choice(["", "e", "s"]) for _ in range(rnd.randint(3, 12))), "de" if i % 3 else "fr") for i in range(n)]
+    rated = [(i, int(rnd.random() < (0.2 if "katze" in text else 0.7))) for i, text, _ in rows]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6), spark.createDataFrame(rated, "doc_id bigint, grade int")
+
+
+def test_quality_learns_from_every_rated_row(spark, monkeypatch):
+    """Scores against a model of all rows outside the held fold, fitted here and by sums over tasks."""
+    docs, ratings = _many(spark)
+    grade = {r.doc_id: r.grade for r in ratings.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    taught = [i for i in sorted(grade) if __import__("zlib").crc32(str(i).encode()) % 5 != 0]
+    feats = {i: (np.array(list(f), np.int64), np.array(list(f.values()))) for i, f in ((i, _features(x)) for i, x in texts.items())}
+    w, t = quality.train([feats[i] for i in taught], np.array([grade[i] for i in taught]), np.ones(len(taught)), 2)
+    want = {i: 1 / (1 + np.exp(-(float(w[f[0]] @ f[1]) - t[0]))) for i, f in feats.items()}
+    for few, task in ((0, 10_000), (1 << 20, 1 << 22)):
+        monkeypatch.setattr(quality, "FEW", few, raising=False)
+        monkeypatch.setattr(quality, "TASK", task, raising=False)
+        got = {r.doc_id: r.tails[0] for r in quality.score(docs, ratings).collect()}
+        assert max(abs(got[i] - want[i]) for i in want) < 1e-4 and len(got) == 4500
+
+
+def test_language_limits_of_every_training_row(spark):
+    """The limit against the plain mean and deviation of the distances of all training rows."""
+    docs, _ = _many(spark)
+    hold = lambda ids: np.array([i % 7 == 0 for i in ids], bool)
+    learnt = langid._table(langid.profiles(docs, hold, 300, "doc_id", "text", "lang"), 300)
+    examples = __import__("inspect").signature(langid.keep).parameters["examples"].default
+    got = langid.limits(docs, learnt, hold, examples, 2.0, 0.0, 1.0, 300, "doc_id", "text", "lang")
+    far = defaultdict(list)
+    for r in docs.collect():
+        if not hold([r.doc_id])[0]:
+            buf = np.frombuffer(r.text.encode(), np.uint8)
+            found = next(langid.counted(buf, np.array([0, len(buf)])))
+            far[r.lang].append(langid.judged(*found, *learnt, 300)[3][learnt[0].index(r.lang)])
+    assert sorted(got) == ["de", "fr"] and all(abs(got[x] - np.mean(far[x]) - 2 * np.std(far[x])) < 1e-9 for x in got)
+
+
 def test_near_duplicates_against_brute_force(stages):
     docs, _, kept = stages["near_duplicates"]
     sets = defaultdict(set)
